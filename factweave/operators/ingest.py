@@ -168,6 +168,8 @@ def semantic_parts(documents: DataFrame, limit: int = PART_LIMIT, minimum: int =
             dict(zip(("piece", "start", "length", "part"), p, strict=True)) for p in _pack([int(n) for n in row], limit, minimum)
         ])
 
+    # Marked as non-deterministic so that the optimizer evaluates it once instead of copying it into filters.
+    places = places.asNondeterministic()
     cut_up = documents.select("document_id", pieces.alias("pieces")).filter(F.size("pieces") > 0)
     packed = cut_up.withColumn("places", places(F.transform("pieces", lambda p: F.length(p["text"]))))
     placed = packed.select("document_id", "pieces", F.posexplode("places").alias("pos", "x"))
@@ -382,10 +384,8 @@ def claims_to_graph(
     )
     rows = claims.join(doc, "document_id").withColumn("claim_id", F.concat(F.lit("claim-"), fact_uuid(key)))
     for end in ("subject", "object"):
-        rows = rows.join(
-            names.select("document_id", c("key").alias(f"_{end}"), c("entity_id").alias(f"{end}_known")),
-            (rows["document_id"] == names["document_id"]) & (F.lower(rows[end]) == F.col(f"_{end}")), "left",
-        ).drop(names["document_id"]).drop(f"_{end}")
+        known = names.withColumnRenamed("entity_id", f"{end}_known")
+        rows = rows.withColumn("key", F.lower(end)).join(known, ["document_id", "key"], "left").drop("key")
         rows = rows.withColumn(f"{end}_id", F.coalesce(f"{end}_known", entity_id(c(end))))
     no_meta = F.create_map().cast("map<string,string>")
     publications = document_scope(doc).select(

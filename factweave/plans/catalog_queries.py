@@ -316,10 +316,10 @@ def import_difference(spark, sf):
 
 
 @query("case_difference", """
-WITH b AS (SELECT DISTINCT user_id AS c FROM events WHERE event_type='purchase' AND value>30), d AS (SELECT DISTINCT user_id AS c FROM events WHERE event_type='signup' AND value>30)
+WITH b AS (SELECT DISTINCT user_id AS c FROM events WHERE event_type='purchase' AND value>60), d AS (SELECT DISTINCT user_id AS c FROM events WHERE event_type='signup' AND value>60)
 SELECT c AS case_id, 'regression' AS change FROM b WHERE c NOT IN (SELECT c FROM d) UNION ALL SELECT c, 'newly_passed' FROM d WHERE c NOT IN (SELECT c FROM b)""")
 def case_difference(spark, sf):
-    e = T.table(spark, sf, "events").filter("value > 30").withColumnRenamed("user_id", "case_id")
+    e = T.table(spark, sf, "events").filter("value > 60").withColumnRenamed("user_id", "case_id")
     return C.case_diff(e.filter("event_type = 'purchase'"), e.filter("event_type = 'signup'"))
 
 

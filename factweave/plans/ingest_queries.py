@@ -168,7 +168,7 @@ def supported_claims(spark, sf):
 
 
 @query("supported_entities", """
-WITH cut AS (SELECT document_id FROM t_cin GROUP BY ALL HAVING count(*)>(SELECT count(*) FROM t_supp s WHERE s.document_id=t_cin.document_id)),
+WITH cut AS (SELECT c.document_id FROM t_cin c LEFT JOIN t_supp s ON s.document_id=c.document_id AND s.pos=c.pos WHERE s.pos IS NULL),
 t AS (SELECT document_id, unnest([lower(subject), lower(object)]) AS k FROM t_supp)
 SELECT document_id, name FROM t_ent e WHERE document_id NOT IN (SELECT document_id FROM cut)
  OR EXISTS (SELECT 1 FROM t WHERE t.document_id=e.document_id AND t.k IN (lower(name), lower(canonical_name), lower(alias)))""")
