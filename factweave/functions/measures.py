@@ -182,7 +182,7 @@ def check_limit(text: Column, unit: Column, kind: Column, at: Column, limit_unit
     )
     worst = F.when(kind == "lte", F.array_max(numbers)).otherwise(F.array_min(numbers))
     over = F.when(kind == "lte", worst > at).otherwise(worst < at)
-    applies = (text != "") & (label_key(unit) == label_key(limit_unit)) & (F.size(numbers) > 0)
+    applies = (text != "") & kind.isNotNull() & (label_key(unit) == label_key(limit_unit)) & (F.size(numbers) > 0)
     verdict = lambda check, value: F.struct(F.lit(check).alias("check"), value.alias("offending"))
     nothing = F.lit(None).cast("double")
     return (

@@ -137,7 +137,6 @@ def vector_leg(queries: DataFrame, vectors: DataFrame, k: int, classes=None, dim
 
 def _block_scores(asked: DataFrame, live: DataFrame, k: int, schema: str) -> DataFrame:
     """Question blocks against vector blocks: every pair of blocks is one group of bounded size."""
-    blocks = lambda df, key, size: F.pmod(F.xxhash64(key), F.lit(max(1, math.ceil(df.count() / size))))
     q_parts = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     v_parts = max(1, math.ceil(live.count() / 16_384))
     q = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_parts))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))))
@@ -154,15 +153,16 @@ def _block_scores(asked: DataFrame, live: DataFrame, k: int, schema: str) -> Dat
 # --- substring hits ----------------------------------------------------------------------------------------------------
 
 
-def token_hits(queries: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+def token_hits(queries: DataFrame, texts: DataFrame, text: str, tokens: DataFrame | None = None) -> DataFrame:
     """(query_id, id, hits): how many of a question's tokens stand inside a text, as substrings.
 
     A token has no blank, so it stands in a text exactly when it stands in one of its words. The distinct words of the
-    corpus meet the tokens through four-character grams by equality, and only matching words go back to their texts. All
-    tokens have four characters or more, but for those that lost outer punctuation; such short ones meet by their own length.
+    corpus meet the tokens through four-character grams by equality, and only matching words go back to their texts.
+    Tokens below four characters meet by their own length. ``tokens`` (query_id, token) replaces the question's own.
     """
     c = F.col
-    tokens = queries.select("query_id", F.explode(X.query_tokens(c("text"))).alias("token"))
+    if tokens is None:
+        tokens = queries.select("query_id", F.explode(X.query_tokens(c("text"))).alias("token"))
     places = texts.select("id", F.explode(F.array_distinct(X.words(F.lower(text)))).alias("word"))
     vocabulary = places.select("word").distinct()
     gram = lambda col, n: F.array_distinct(F.transform(
@@ -274,8 +274,7 @@ def rerank_signals(cands: DataFrame) -> DataFrame:
     }
     out = rows.withColumns(signals)
     base = sum((F.lit(WEIGHTS[n]) * c(f"s_{n}") for n in ("fusion", "lexical", "subject", "source", "numeric")), F.lit(0.0))
-    # Rounded so that equal sums of different order tie.
-    return out.withColumn("base", F.round(base, 12)).drop("_tokens", "_s", "_e", "_t", "_b")
+    return out.withColumn("base", base).drop("_tokens", "_s", "_e", "_t", "_b")
 
 
 def rerank(signals: DataFrame, top_k: int = TOP_K, bonus: float = WEIGHTS["community"]) -> DataFrame:
@@ -287,19 +286,21 @@ def rerank(signals: DataFrame, top_k: int = TOP_K, bonus: float = WEIGHTS["commu
     """
     c = F.col
     unit = F.coalesce(F.when(c("community") != "", F.concat(F.lit("c:"), c("community"))), F.concat(F.lit("i:"), c("id")))
-    w = Window.partitionBy("query_id", "_unit").orderBy(F.desc("base"), "id")
-    rows = signals.withColumn("_unit", unit).withColumns({
-        "_head": F.row_number().over(w) == 1, "_head_base": F.first("base").over(w), "_head_id": F.first("id").over(w),
+    w = Window.partitionBy("query_id", "_unit").orderBy(F.desc("_base"), "id")
+    # Scores compare as whole billionths, so that sums added in another order still tie.
+    whole = lambda col: F.round(col * 1_000_000_000).cast("bigint")
+    rows = signals.withColumns({"_unit": unit, "_base": whole(c("base"))}).withColumns({
+        "_head": F.row_number().over(w) == 1, "_head_base": F.first("_base").over(w), "_head_id": F.first("id").over(w),
     })
-    own = F.round(c("base") + F.when(c("_head"), 0.0).otherwise(bonus), 12)
+    own = c("_base") + F.when(c("_head"), F.lit(0)).otherwise(whole(F.lit(bonus)))
     behind = ~c("_head") & (own > c("_head_base"))
     rows = rows.withColumns({
-        "total": own, "_key": F.when(behind, c("_head_base")).otherwise(own),
+        "_total": own, "total": own / 1_000_000_000, "_key": F.when(behind, c("_head_base")).otherwise(own),
         "_tie": F.when(behind, c("_head_id")).otherwise(c("id")),
     })
     return catalog.top_k(
-        rows, ["query_id"], [F.desc("_key"), F.col("_tie"), F.desc("_head"), F.desc("total"), F.col("id")], top_k
-    ).drop("_unit", "_head", "_head_base", "_head_id", "_key", "_tie")
+        rows, ["query_id"], [F.desc("_key"), F.col("_tie"), F.desc("_head"), F.desc("_total"), F.col("id")], top_k
+    ).drop("_unit", "_head", "_head_base", "_head_id", "_key", "_tie", "_base", "_total")
 
 
 def rerank_degraded(selected: DataFrame) -> DataFrame:
@@ -371,8 +372,11 @@ def select_relevant(queries: DataFrame, findings: DataFrame, n: int) -> DataFram
     order = [F.desc("statement_hits"), F.desc("quote_hits"), F.desc("confidence"), c("id")]
     best = catalog.top_k(hits.select("query_id", "id", "statement_hits", "quote_hits", "confidence"), ["query_id"], order, n)
     # Findings without any hit fill the places that are left, the most confident first: the same n for every question.
-    rest = findings.select("id", "confidence").orderBy(F.desc("confidence"), "id").limit(2 * n)
-    filler = queries.select("query_id", F.lit(0).alias("j")).join(F.broadcast(rest.withColumn("j", F.lit(0))), "j").join(
+    # A question with fewer than n hits finds n others among the first 2n, so a list of 2n is enough.
+    rest = findings.select("id", "confidence").orderBy(F.desc("confidence"), "id").limit(2 * n).agg(
+        F.collect_list(F.struct("id", "confidence"))
+    )
+    filler = queries.select("query_id", F.explode(rest.scalar()).alias("r")).select("query_id", "r.*").join(
         hits.select("query_id", "id"), ["query_id", "id"], "left_anti"
     ).select("query_id", "id", F.lit(0).cast("bigint").alias("statement_hits"), F.lit(0).cast("bigint").alias("quote_hits"), "confidence")
     return catalog.top_k(best.drop("rank").unionByName(filler), ["query_id"], order, n)

@@ -77,7 +77,7 @@ WITH l AS (SELECT n_name AS object, o.id, property_name, idx, value AS lv, unit,
  FROM t_obs o JOIN t_find f ON o.id=f.id WHERE value IS NOT NULL),
 k AS (SELECT * FROM l WHERE kind IS NOT NULL), f AS (SELECT object, property_name, arg_min(kind, (id,idx)) AS kind FROM k GROUP BY ALL),
 lim AS (SELECT k.object, k.property_name, k.kind, CASE WHEN k.kind='lte' THEN min(lv) ELSE max(lv) END AS lv, min(unit) AS unit,
- arg_min(origin, (CASE WHEN k.kind='lte' THEN lv ELSE -lv END, id, idx)) AS origin FROM k JOIN f ON k.object=f.object AND k.property_name=f.property_name AND k.kind=f.kind GROUP BY ALL)"""
+ arg_min(origin, (CASE WHEN k.kind='lte' THEN lv ELSE -lv END, id, idx)) AS origin FROM k JOIN f ON k.object=f.object AND k.property_name=f.property_name AND k.kind=f.kind GROUP BY k.object, k.property_name, k.kind)"""
 
 
 @query("detect_limit", """

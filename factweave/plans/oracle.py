@@ -55,6 +55,8 @@ def sql(body: str) -> str:
     if not ctes:
         return body.strip()
     rest = body.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + rest[15:]
     if rest.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + rest[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + rest

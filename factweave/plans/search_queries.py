@@ -143,7 +143,7 @@ hs AS (SELECT c.query_id, c.id, count(*) FILTER (contains(lower(statement), toke
 sg AS (SELECT c.query_id, c.id, community, fusion/max(fusion) OVER (PARTITION BY c.query_id) AS s_fusion, least(h,5)/5.0::DOUBLE AS s_lexical,
  CASE WHEN b='' THEN 0 WHEN contains(lower(text), b) THEN 1 ELSE least(bh,2)/2.0::DOUBLE END AS s_subject, least(t,2)/2.0::DOUBLE AS s_source,
  CASE WHEN n_obs=0 THEN 0 ELSE least(1, ln(1+n_obs)/ln(4)+CASE WHEN n_units>1 THEN 0.1 ELSE 0 END) END AS s_numeric FROM cs c JOIN hs ON hs.query_id=c.query_id AND hs.id=c.id),
-bs AS (SELECT *, round(0.42*s_fusion+0.28*s_lexical+0.09*s_subject+0.09*s_source+0.05*s_numeric, 12) AS base FROM sg)"""
+bs AS (SELECT *, CAST(round((0.42*s_fusion+0.28*s_lexical+0.09*s_subject+0.09*s_source+0.05*s_numeric)*1000000000) AS BIGINT) AS base FROM sg)"""
 
 
 def _candidates(spark, sf):
@@ -168,7 +168,7 @@ arr AS (SELECT query_id, list({{'id': id, 'c': community, 'b': base}} ORDER BY i
 pick AS (SELECT query_id, items, []::VARCHAR[] AS chosen, []::VARCHAR[] AS taken, 0 AS step FROM arr
  UNION ALL SELECT query_id, items, list_append(chosen, best.id), list_append(taken, best.c), step+1 FROM (
   SELECT *, list_sort(list_transform(list_filter(items, lambda x: NOT list_contains(chosen, x.id)),
-   lambda x: {{'k': -round(x.b + CASE WHEN list_contains(taken, x.c) THEN 0.07 ELSE 0 END, 12), 'id': x.id, 'c': x.c}}))[1] AS best FROM pick WHERE step<{k} AND step<len(items)))
+   lambda x: {{'k': -(x.b + CASE WHEN list_contains(taken, x.c) THEN 70000000 ELSE 0 END), 'id': x.id, 'c': x.c}}))[1] AS best FROM pick WHERE step<{k} AND step<len(items)))
 SELECT query_id, chosen[i] AS id, i::INTEGER AS rank FROM (SELECT query_id, max_by(chosen, step) AS chosen FROM pick GROUP BY ALL), unnest(generate_series(1, len(chosen))) AS t(i)"""
 
 
@@ -219,9 +219,7 @@ def hybrid_retrieval(spark, sf):
     return S.hybrid_retrieval(T.search_queries(spark, sf), T.passages(spark, sf), 10, _KEYWORDS).drop("score")
 
 
-@query("retrieve", _GREEDY.format(signals=f"""
-vis AS (SELECT * FROM t_score JOIN t_pass USING (id) WHERE data_class IN ('public','internal')),
-{_SIGNALS.strip().replace('t_score', 'vis0')}""".replace("vis AS (SELECT * FROM t_score JOIN t_pass USING (id) WHERE data_class IN ('public','internal')),", "vis0 AS (SELECT s.* FROM t_score s JOIN t_pass p ON p.id=s.id),").strip(), k=6))
+@query("retrieve", _GREEDY.format(signals=_SIGNALS.strip(), k=6))
 def retrieve(spark, sf):
     """All classes visible: lexical and chunk legs, fusion, re-ranking."""
     return S.retrieve(T.search_queries(spark, sf), T.passages(spark, sf), None, None, "hybrid").select("query_id", "id", "rank")
