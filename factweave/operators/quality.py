@@ -392,7 +392,7 @@ def guardrails(answers: DataFrame, findings: DataFrame) -> DataFrame:
     c = F.col
     packed = findings.groupBy("query_id").agg(F.collect_list(F.struct("id", "evidence", "observations", "confidence")).alias("pool"))
     rows = answers.join(packed, "query_id", "left").withColumn(
-        "pool", F.coalesce("pool", F.slice(F.array(F.lit(None)), 1, 0).cast(packed.schema["pool"].dataType))
+        "pool", F.coalesce("pool", F.array().cast(packed.schema["pool"].dataType))
     ).withColumn("_cited", F.array_union("finding_ids", X.cited_ids(c("text"))))
     rows = rows.withColumns({
         "unknown_ids": F.array_except("_cited", F.transform("pool", lambda f: f["id"])),

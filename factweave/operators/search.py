@@ -293,7 +293,8 @@ def rerank(signals: DataFrame, top_k: int = TOP_K, bonus: float = WEIGHTS["commu
         "_head": F.row_number().over(w) == 1, "_head_base": F.first("_base").over(w), "_head_id": F.first("id").over(w),
     })
     own = c("_base") + F.when(c("_head"), F.lit(0)).otherwise(whole(F.lit(bonus)))
-    behind = ~c("_head") & (own > c("_head_base"))
+    # At an equal score a follower with a smaller id than its head also waits for the head and then comes next.
+    behind = ~c("_head") & ((own > c("_head_base")) | ((own == c("_head_base")) & (c("id") < c("_head_id"))))
     rows = rows.withColumns({
         "_total": own, "total": own / 1_000_000_000, "_key": F.when(behind, c("_head_base")).otherwise(own),
         "_tie": F.when(behind, c("_head_id")).otherwise(c("id")),
