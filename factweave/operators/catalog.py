@@ -298,7 +298,7 @@ def version_history(findings: DataFrame) -> DataFrame:
     The head is the last replacement that exists; from it the chain walks back, over the smallest id where several
     findings were replaced by the same one. Only replaced findings and their replacements take part in the iteration.
     """
-    rows = findings.select("id", "version", "superseded_by")
+    rows = checkpoint(findings.select("id", "version", "superseded_by"))
     links = rows.filter(F.col("superseded_by").isNotNull()).select("id", F.col("superseded_by").alias("next"))
     links = checkpoint(links.join(rows.select(F.col("id").alias("next")), "next", "left_semi").select("id", "next"))
     first = links.groupBy("next").agg(F.min("id").alias("id")).select("id", "next")

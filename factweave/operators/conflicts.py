@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import measures, scope as scopes
 from ..functions.ids import conflict_pair_id
 from . import skew
+from .lineage import checkpoint
 
 GROUP = ["subject_id", "predicate", "property_name", "unit"]
 QUEUE_LIMIT = 500
@@ -79,8 +80,7 @@ def detect_conflicts(claims: DataFrame, by: list[str] | None = None, hot_rows: i
     """
     by = by or []
     c = F.col
-    text = measures.format_range(c("lo"), c("hi"), c("unit"))
-    rows, bucket = _sides(claims.withColumn("value_text", text), by)
+    rows, bucket = _sides(_worded(claims), by)
     rows = rows.select(*bucket, "claim_id", "finding_id", "lo", "hi", "value_text")
     cuts = skew.value_cuts(rows, bucket, "lo", hot_rows)
     low = skew.with_bin(rows, bucket, "hi", cuts)
@@ -130,16 +130,19 @@ def resolve_candidates(reviews: DataFrame, findings: DataFrame) -> DataFrame:
 
     Only the findings named by the reviews are compared, so the cost follows the reviews, not all conflicts.
     """
-    pairs = reviewed_pairs(reviews, findings)
+    pairs = reviewed_pairs(reviews, _worded(to_claims(findings)))
     return reviews.select(F.col("candidate_id").alias("pair_id"), "status").join(
         pairs.select("pair_id", F.col("left_finding_id"), F.col("right_finding_id"), F.lit(True).alias("_hit")), "pair_id", "left"
     ).withColumn("resolved", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def reviewed_pairs(reviews: DataFrame, findings: DataFrame) -> DataFrame:
-    """Current conflicts among the reviewed pairs of findings."""
+def _worded(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("value_text", measures.format_range(F.col("lo"), F.col("hi"), F.col("unit")))
+
+
+def reviewed_pairs(reviews: DataFrame, claims: DataFrame) -> DataFrame:
+    """Current conflicts among the reviewed pairs of findings, from claims with their printed values."""
     c = F.col
-    claims = to_claims(findings).withColumn("value_text", measures.format_range(c("lo"), c("hi"), c("unit")))
     side = lambda p: claims.select(
         *[c(x).alias(f"{p}_{x}") for x in [*_SIDE, "scope", "subject_id", "predicate", "property_name", "unit"]]
     )
@@ -173,7 +176,8 @@ def conflict_queue(findings: DataFrame, reviews: DataFrame, limit: int = QUEUE_L
     """
     c = F.col
     corpus = findings.filter(~scopes.is_demo(c("scope")))
-    claims = to_claims(corpus).withColumn("value_text", measures.format_range(c("lo"), c("hi"), c("unit")))
+    # Written once: the claims feed the bucket ends, both sides of the pairs and the reviewed pairs.
+    claims = checkpoint(_worded(to_claims(corpus)).drop("evidence_ids", "kind"))
     rows, bucket = _sides(claims, [])
     order = [c("subject_id"), c("property_name"), c("claim_id")]
     ends = rows.groupBy(*bucket).agg(F.max("lo").alias("max_lo"), F.min("hi").alias("min_hi"))
@@ -203,7 +207,7 @@ def conflict_queue(findings: DataFrame, reviews: DataFrame, limit: int = QUEUE_L
     ).select(*_pair_columns())
     rank = [c("subject_id"), c("property_name"), c("left_claim_id"), c("right_claim_id")]
     fresh = pairs.join(reviews.select(c("candidate_id").alias("pair_id")), "pair_id", "left_anti").orderBy(*rank).limit(limit)
-    seen = reviewed_pairs(reviews, corpus).orderBy(*rank).limit(limit)
+    seen = reviewed_pairs(reviews, claims).orderBy(*rank).limit(limit)
     queue = overlay_reviews(fresh.unionByName(seen), reviews)
     return queue.orderBy((c("status") != "candidate").cast("int"), *rank).limit(limit)
 
