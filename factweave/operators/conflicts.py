@@ -81,11 +81,15 @@ def detect_conflicts(claims: DataFrame, by: list[str] | None = None, hot_rows: i
     by = by or []
     c = F.col
     rows, bucket = _sides(_worded(claims), by)
-    rows = rows.select(*bucket, "claim_id", "finding_id", "lo", "hi", "value_text")
-    cuts = skew.value_cuts(rows, bucket, "lo", hot_rows)
-    low = skew.with_bin(rows, bucket, "hi", cuts)
+    # Both sides of a pair must be cut at the same values, so cuts belong to the unordered pair of patterns.
+    rows = rows.select(
+        *bucket, F.least("own", "partner").alias("_p"), F.greatest("own", "partner").alias("_q"), "claim_id", "finding_id", "lo", "hi", "value_text"
+    )
+    place = [*by, *GROUP, "_p", "_q", "shared_scope"]
+    cuts = skew.value_cuts(rows, place, "lo", hot_rows)
+    low = skew.with_bin(rows, place, "hi", cuts)
     low = low.withColumn("_bin", F.explode(F.sequence(c("_bin"), F.size("_cuts"))))
-    high = skew.with_bin(rows, bucket, "lo", cuts)
+    high = skew.with_bin(rows, place, "lo", cuts)
     fixed = by + GROUP + ["shared_scope", "_bin"]
     low = low.select(*fixed, c("own").alias("_a"), c("partner").alias("_b"), *[c(x).alias(f"l_{x}") for x in _SIDE])
     high = high.select(*fixed, c("partner").alias("_a"), c("own").alias("_b"), *[c(x).alias(f"h_{x}") for x in _SIDE])

@@ -139,8 +139,10 @@ def _block_scores(asked: DataFrame, live: DataFrame, k: int, schema: str) -> Dat
     """Question blocks against vector blocks: every pair of blocks is one group of bounded size."""
     q_parts = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     v_parts = max(1, math.ceil(live.count() / 16_384))
-    q = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_parts))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_parts - 1))))
-    v = live.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(v_parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).cast("bigint"))
+    slot = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.withColumn("qb", slot("query_id", q_parts)).withColumn("vb", every(v_parts))
+    v = live.withColumn("vb", slot("id", v_parts)).withColumn("qb", every(q_parts))
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
