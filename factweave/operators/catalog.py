@@ -397,15 +397,18 @@ def dashboard(findings: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: graph counts, evidence, conflicts and coverage gaps of one snapshot."""
     from .conflicts import gap_summary, to_claims
 
-    one = F.lit("all").alias("pool")
-    gaps = gap_summary(to_claims(findings.withColumn("pool", one), carry=("pool",)), ["pool"])
+    gaps = gap_summary(to_claims(findings.withColumn("pool", F.lit("all")), carry=("pool",)), ["pool"])
+    # A corpus without comparable numbers has no gap row at all.
+    counted = gaps.agg(F.coalesce(F.max("shown"), F.lit(0)).alias("gaps"), F.coalesce(F.max("omitted"), F.lit(0)).alias("gaps_omitted"))
     found = findings.agg(
         F.count("*").alias("findings"), F.sum(F.size("evidence")).alias("evidence"),
         F.count_if(F.col("status") == "disputed").alias("conflicts"),
-    ).withColumn("pool", one)
-    stats = corpus_stats(nodes).select("documents", "claims", "entities", one)
-    return (
-        stats.join(found, "pool")
-        .join(gaps.select("pool", F.col("shown").alias("gaps"), F.col("omitted").alias("gaps_omitted")), "pool", "left")
-        .fillna(0, ["gaps", "gaps_omitted"]).drop("pool")
     )
+    return corpus_stats(nodes).select(
+        "documents", "claims", "entities", one_row(found).alias("f"), one_row(counted).alias("g")
+    ).select("documents", "claims", "entities", "f.*", "g.*")
+
+
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a struct value: a scalar subquery, not a join."""
+    return df.select(F.struct(*df.columns)).scalar()

@@ -328,10 +328,10 @@ def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
     ).agg(F.max("confidence").alias("w"))
     side = lambda n: members.select(c("id").alias(n), c("community").alias(f"c{n}"))
     rows = pair.join(side("a"), "a").join(side("b"), "b")
-    inside = rows.groupBy(F.lit(1).alias("k")).agg(F.sum("w").alias("m"), F.sum(F.when(c("ca") == c("cb"), c("w")).otherwise(0.0)).alias("inner"))
+    inside = rows.agg(F.sum("w").alias("m"), F.sum(F.when(c("ca") == c("cb"), c("w")).otherwise(0.0)).alias("inner"))
     degree = rows.select(F.explode(F.array("ca", "cb")).alias("community"), "w").groupBy("community").agg(F.sum("w").alias("d"))
-    spread = degree.groupBy(F.lit(1).alias("k")).agg(F.sum(c("d") * c("d")).alias("s"))
-    return inside.join(spread, "k").select((c("inner") / c("m") - c("s") / (4 * c("m") * c("m"))).alias("modularity"))
+    spread = degree.agg(F.sum(c("d") * c("d"))).scalar()
+    return inside.select((c("inner") / c("m") - spread / (4 * c("m") * c("m"))).alias("modularity"))
 
 
 def label_communities(nodes: DataFrame, members: DataFrame, minimum: int = MIN_COMMUNITY, first: int = 64) -> DataFrame:

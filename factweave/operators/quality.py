@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..functions import text as X
 from ..functions import units as U
+from .catalog import case_diff, one_row
 
 # Floors and limits of the gates.
 PASS_TOLERANCE, OVERALL_FLOOR, CORRECTNESS_FLOOR, JUDGE_FLOOR, CONTENT_FLOOR, RECALL_FLOOR = 0.999, 0.8, 0.8, 0.8, 0.999, 0.6
@@ -134,9 +135,9 @@ def retrieval_benchmark(hybrid: DataFrame, lexical: DataFrame, qrels: DataFrame,
         "scored_cases": c("gold_cases") - absent.agg(F.count("*")).scalar(),
         "corpus_documents": corpus.agg(F.count("*")).scalar(),
         "copied_titles": copied.agg(F.count("*")).scalar(),
-        "k": F.lit(0),
+        "_h": one_row(one(hybrid, "hybrid")), "_l": one_row(one(lexical, "lexical")),
     })
-    out = counts.join(one(hybrid, "hybrid").withColumn("k", F.lit(0)), "k").join(one(lexical, "lexical").withColumn("k", F.lit(0)), "k").drop("k")
+    out = counts.select("*", "_h.*", "_l.*").drop("_h", "_l")
     valid = (c("scored_cases") == c("gold_cases")) & (c("corpus_documents") > k) & (c("copied_titles") == 0)
     return out.withColumn("valid", valid).withColumn(
         "passed", valid & (c("hybrid_recall_at_3") >= RECALL3_FLOOR) & (c("hybrid_mrr") >= MRR_FLOOR)
@@ -447,17 +448,15 @@ def pipeline_metrics(results: DataFrame, by: list[str]) -> DataFrame:
 
 def ab_decision(metrics: DataFrame, results: DataFrame, baseline: str, candidate: str) -> DataFrame:
     """promote or reject a candidate: enough cases, no lost case, a newly passed one, no rate worse, latency <= 1.25 x."""
-    from .catalog import case_diff
-
     c = F.col
     passed = results.filter((c("recall") == 1) & (c("citation_coverage") == 1) & (c("degradations") == 0))
     diff = case_diff(passed.filter(c("variant") == baseline), passed.filter(c("variant") == candidate)).agg(
         F.count_if(c("change") == "regression").alias("regressions"), F.count_if(c("change") == "newly_passed").alias("newly_passed")
-    ).withColumn("k", F.lit(0))
+    )
     side = lambda name, p: metrics.filter(c("variant") == name).select(
-        F.lit(0).alias("k"), *[c(x).alias(f"{p}_{x}") for x in ("cases", "pass_rate", "source_recall", "citation_coverage", "average_latency_ms")]
+        *[c(x).alias(f"{p}_{x}") for x in ("cases", "pass_rate", "source_recall", "citation_coverage", "average_latency_ms")]
     )
-    rows = side(baseline, "b").join(side(candidate, "c"), "k").join(diff, "k").drop("k")
+    rows = diff.select("*", one_row(side(baseline, "b")).alias("_b"), one_row(side(candidate, "c")).alias("_c")).select(*diff.columns, "_b.*", "_c.*")
     good = (
         (c("c_cases") >= MIN_AB_CASES) & (c("regressions") == 0) & (c("newly_passed") > 0) & (c("c_pass_rate") >= c("b_pass_rate"))
         & (c("c_source_recall") >= c("b_source_recall")) & (c("c_citation_coverage") >= c("b_citation_coverage"))
