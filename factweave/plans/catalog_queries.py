@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import measures, scope as scopes
 from ..operators import access as A
 from ..operators import catalog as C
-from ..operators.conflicts import to_claims  # noqa: F401
-from ..schemas import RELATION_ROWS  # noqa: F401
 from ..sources import testdata as T
 from .registry import query
 

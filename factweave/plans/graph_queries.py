@@ -200,7 +200,7 @@ def communities(spark, sf):
 @query("label_communities", """
 WITH s AS (SELECT community, count(*) AS size FROM t_com GROUP BY ALL), c AS (SELECT community, label, count(*) AS n FROM t_nodec GROUP BY ALL),
 m AS (SELECT community, arg_min(lower(label), (-n, -length(label), lower(label))) AS name FROM c GROUP BY ALL)
-SELECT CASE WHEN size<15 THEN 'small' ELSE 'named' END AS kind, count(*) AS communities, sum(size)::BIGINT AS nodes, CASE WHEN size<15 THEN 1 ELSE count(*) END::BIGINT AS names FROM s GROUP BY ALL, size<15""".replace(" GROUP BY ALL, size<15", " GROUP BY size<15"))
+SELECT CASE WHEN size<15 THEN 'small' ELSE 'named' END AS kind, count(*) AS communities, sum(size)::BIGINT AS nodes, CASE WHEN size<15 THEN 1 ELSE count(*) END::BIGINT AS names FROM s GROUP BY size<15""")
 def label_communities(spark, sf):
     n = community_nodes(spark, sf)
     named = G.label_communities(n, n.select("id", "community"))
@@ -238,9 +238,9 @@ _RU = ", ".join(f"'{k}': '{v.lower()}'" for k, v in G.TYPE_NAMES.items())
 WITH {_PROFILE},
 h AS (SELECT pr.community, size, lower(pr.community||' '||replace(labels,', ',' ')||' '||replace(sources,', ',' '))||' '||
  (SELECT string_agg(coalesce(MAP {{{_RU}}}[type], type), ' ') FROM (SELECT DISTINCT type FROM p WHERE p.community=pr.community)) AS hay FROM pr),
-k AS (SELECT DISTINCT r_name AS query_id, lower(t) AS t FROM region, (SELECT unnest(['ring','small','order 1','brand#1']) AS t UNION ALL SELECT DISTINCT string_split(p_name,' ')[1] FROM part)),
+k AS (SELECT DISTINCT r_name AS query_id, lower(t) AS t FROM region, (SELECT unnest(['ring','small','brand#1']) AS t UNION ALL SELECT DISTINCT string_split(p_name,' ')[1] FROM part)),
 x AS (SELECT q.query_id, h.community, size, count(*) FILTER (contains(hay, t)) AS hits FROM k q, h GROUP BY ALL)
-SELECT query_id, community, hits, size, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, size DESC, community)::INTEGER AS rank FROM x QUALIFY rank<=4""".replace("'order 1',", ""))
+SELECT query_id, community, hits, size, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, size DESC, community)::INTEGER AS rank FROM x QUALIFY rank<=4""")
 def rank_profiles(spark, sf):
     words = T.table(spark, sf, "part").selectExpr("split(p_name, ' ')[0] AS token").distinct()
     fixed = F.array(*[F.lit(w) for w in ("ring", "small", "brand#1")])
@@ -263,8 +263,7 @@ def profile_summary(spark, sf):
 
 
 def _proposals(spark, sf):
-    r = T.extraction(spark, sf)[2].withColumn("seq", F.monotonically_increasing_id() * 0)
-    r = r.groupBy("mention", "canonical_name", "action").agg(F.max("confidence").alias("confidence"), F.min("document_id").alias("rationale")).withColumn("seq", F.lit(1))
+    r = T.extraction(spark, sf)[2].groupBy("mention", "canonical_name", "action").agg(F.max("confidence").alias("confidence"), F.min("document_id").alias("rationale")).withColumn("seq", F.lit(1))
     base = r.filter("confidence >= 0.8").select(
         G.proposal_id(F.col("mention"), F.col("canonical_name")).alias("id"), F.col("mention").alias("source"), F.col("canonical_name").alias("target"),
         F.lit(0.1).alias("confidence"), F.lit("old").alias("rationale"), F.when(F.length("mention") > 4, "accepted").otherwise("rejected").alias("status"),
@@ -277,7 +276,7 @@ def _proposals(spark, sf):
 
 _PID = uuid5(ids.MERGE_NAMESPACE, "lower(m)||'->canon '||lower(m)")
 cte("t_mp", f"""
-SELECT lower(m) AS source, {_PID.replace('lower(m)', 'lower(m)')} AS id, max(confidence) AS confidence, bool_or(confidence>=0.8) AS old,
+SELECT lower(m) AS source, {_PID} AS id, max(confidence) AS confidence, bool_or(confidence>=0.8) AS old,
  min(m) FILTER (confidence>=0.8) AS old_name FROM (SELECT mention AS m, max(confidence) AS confidence FROM t_res GROUP BY ALL) GROUP BY lower(m), id""")
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.text import TECH_KEYWORDS  # noqa: F401
 from ..operators import ingest as I  # noqa: E741
 from ..schemas import RELATION_ROWS, relations
 from ..sources import corpus, sinks
 from ..sources import testdata as T
-from .oracle import WORD, uuid5  # noqa: F401
+from .oracle import uuid5
 from .registry import query
 
 
@@ -264,7 +263,7 @@ def repair_chunk_evidence(spark, sf):
     return I.repair_chunk_evidence(f).select(e["document_id"].alias("document_id"), "outcome", F.length(e["quote"]).alias("quote_chars"))
 
 
-_TOKEN = I._TOKEN.replace("\\b", "\\b")
+_TOKEN = I._TOKEN
 _TEXT = f"""trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(regexp_replace(html, '(?s)>[^<]*&[^\\s;<]{{0,33}}$', '>'), '{_TOKEN}', 1), lambda t:
  CASE WHEN regexp_matches(t, '(?is)^<(script|style)\\b.*>$') THEN ' '||regexp_replace(t, '(?is)^<(?:script|style)\\b[^>]*>|</(?:script|style)\\s*>$', '', 'g')||' '
  WHEN regexp_matches(t, '(?is)^<([!?/]?[a-z]|!--)') THEN ' '

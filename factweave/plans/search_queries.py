@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog as C  # noqa: F401
 from ..operators import search as S
 from ..sources import testdata as T
 from .catalog_queries import candidates

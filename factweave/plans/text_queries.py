@@ -13,7 +13,6 @@ from ..operators import validation as V
 from ..schemas import RELATION_ROWS, relations
 from ..sources import testdata as T
 from .ingest_queries import _MARKED, _RELATIONS
-from .number_queries import _scaled  # noqa: F401
 from .oracle import uuid5
 from .registry import query
 from .search_queries import tokens
