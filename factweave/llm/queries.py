@@ -84,16 +84,16 @@ FROM runs
 """)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.positions(mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).withColumn("row", F.struct("row.doc_id")))
-    return placed.orderBy(F.col("positions").getItem(0).asc_nulls_last()).select("row.doc_id", "size", "source_size", "target", "taken")
+    return placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last()).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op10_topk", """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
     WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
 scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
