@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.testdata import table
-from . import bpe, exact_dedup, mixing, topk, toxicity
-from .common import remainder
+from . import bpe, chat, exact_dedup, html_text, mixing, topk, toxicity, warc
+from .common import materialise, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,70 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """)
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_chat_rotation", """
+WITH turns AS (
+    SELECT conv_id, coalesce(turn, 4611686018427387903) AS pos, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS participant FROM turns WHERE speaker <> 'system'),
+shown AS (
+    SELECT t.conv_id, participant, CAST(floor(pos / 128) AS BIGINT) AS part, pos, speaker, text, speaker = participant AS own,
+           CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = participant THEN '<|assistant|>'
+                ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+    FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+placed AS (
+    SELECT *, CAST(coalesce(sum(length(head) + length(text) + 8) OVER (
+        PARTITION BY conv_id, participant, part ORDER BY pos, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS b
+    FROM shown)
+SELECT conv_id, participant, part, CAST(0 AS DOUBLE) AS piece, CAST(count(*) AS INTEGER) AS n_messages,
+       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos, speaker, text) AS text,
+       coalesce(string_agg(b || '-' || (b + length(text)), ' ' ORDER BY pos, speaker, text) FILTER (WHERE own), '') AS mask
+FROM placed GROUP BY conv_id, participant, part
+""")
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["begin"], s["end"])), " ")
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("mask", spans)
+
+
+#: Pages of one WARC file, and the bytes that mark, in the MD5 of a page id, the records the second replica has damaged or lost.
+FILE_PAGES, DAMAGED, LOST = 1024, "00", "01"
+
+
+def replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages as WARC files, and a copy of them with some records damaged and some lost."""
+    mark = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    half = F.floor(F.length("html") / 2).cast("int")
+    spoiled = F.concat(F.substr("html", F.lit(1), half), F.lit("#"), F.substr("html", half + 2))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.floor(F.col("page_id") / FILE_PAGES).alias("file"), mark.alias("mark"), warc.response_record(F.col("url"), F.col("html")).alias("record"),
+        warc.response_record(F.col("url"), F.when(mark == DAMAGED, spoiled).otherwise(F.col("html"))).alias("copy"),
+    )
+    sized = pages.select("page_id", "file", "mark", F.octet_length("record").alias("size"), F.sha2("record", 256).alias("digest"), F.sha2("copy", 256).alias("copied"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = materialise(sized.withColumn("offset", before.cast("long")))
+    return placed.select("file", "offset", "digest"), placed.filter(F.col("mark") != LOST).select("file", "offset", F.col("copied").alias("digest"))
+
+
+@query("op6_warc_fixity", """
+WITH p AS (
+    SELECT page_id, page_id // 1024 AS file, substr(md5(CAST(page_id AS VARCHAR)), 1, 2) AS mark, url, html,
+           substr(html, 1, length(html) // 2) || '#' || substr(html, length(html) // 2 + 2) AS spoiled FROM pages),
+r AS (
+    SELECT *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head,
+           chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM p),
+w AS (
+    SELECT file, page_id, mark, encode(head || octet_length(encode(html)) || gap || html || gap) AS a,
+           encode(head || octet_length(encode(spoiled)) || gap || spoiled || gap) AS b FROM r),
+o AS (
+    SELECT *, CAST(coalesce(sum(octet_length(a)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM w)
+SELECT CAST(file AS VARCHAR) AS file, "offset", sha256(a) AS left_digest, CASE WHEN mark = '00' THEN sha256(b) END AS right_digest,
+       CASE WHEN mark = '00' THEN 'changed' ELSE 'missing' END AS kind
+FROM o WHERE mark = '01' OR mark = '00' AND a <> b
+""")
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.audit(*replicas(spark, sf_dir))
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
