@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import bpe, exact_dedup, mixing, queries, toxicity
+from factweave.llm import bpe, exact_dedup, jaccard, mixing, queries, toxicity
 from factweave.llm.common import materialise
 from factweave.sources.testdata import table
 
@@ -21,6 +21,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_newest(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    stays = jaccard.near_duplicates(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, repeated or left out as the sources' targets ask."""
     return mixing.training_order(docs)
@@ -33,7 +39,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("mixing", mix), ("byte_bpe", tokenise)]
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("mixing", mix), ("byte_bpe", tokenise)]
 
 #: The classifier and the byte-level encoding have no form in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None

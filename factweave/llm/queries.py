@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.testdata import table
-from . import bpe, chat, exact_dedup, html_text, mixing, topk, toxicity, warc
+from . import bpe, chat, exact_dedup, html_text, jaccard, lm, mixing, topk, toxicity, warc
 from .common import materialise, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,14 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_text")
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    return lm.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", held_out)
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
