@@ -75,9 +75,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     vector = F.udf(lambda t: features(t).tobytes(), "binary", useArrow=True)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    data = materialise(rows.select("id", "y", vector("text").alias("found"))).repartition(PARTS, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id", "found")
-    data = materialise(data.select("y", "found", F.spark_partition_id().alias("part")), "part")
-    counted = data.repartition(PARTS, "part")
+    found = rows.select("id", "y", vector("text").alias("found")).repartition(PARTS, "id").sortWithinPartitions(F.xxhash64("id"), "id", "found")
+    counted = materialise(found.select("y", "found"))
 
     def counts(rows: list[dict]) -> np.ndarray:
         out = np.zeros((2, BUCKETS + 1))
