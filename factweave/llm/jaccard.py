@@ -24,8 +24,10 @@ from .common import materialise, task_count
 
 #: Words in a shingle; similarity as a share of NUMERATOR / DENOMINATOR.
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-#: Counters of the shingle sketch, in slices for summing, and bits of the filter of needed sets: both of fixed size.
+#: Counters of the shingle sketch, in slices for summing, and bits of the filter of needed documents: both of fixed size.
 COUNTERS, SLICES, FILTER_BITS = 1 << 20, 256, 1 << 23
+#: Neighbours a node is compared with before components are known.
+FIRST = 3
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -57,6 +59,26 @@ def set_key(shingle_set: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingle_set.tobytes(), seed=len(shingle_set)) - (1 << 63)
 
 
+def bitmap(shingle_set: np.ndarray) -> bytes:
+    """One bit for each value of the hashes' last bits, about twice as many bits as shingles."""
+    size = max(64, 1 << (2 * len(shingle_set)).bit_length())
+    out = np.zeros(size, dtype=np.uint8)
+    out[shingle_set & np.uint64(size - 1)] = 1
+    return np.packbits(out).tobytes()
+
+
+def _possible(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether the bitmaps leave room for similarity: every bit that only one side has is an element the other lacks."""
+    while len(a) != len(b):  # fold the longer one
+        if len(a) < len(b):
+            a, n, b, m = b, m, a, n
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half]) | int.from_bytes(a[half:])).to_bytes(half)
+    x, y = int.from_bytes(a), int.from_bytes(b)
+    both = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
+    return DENOMINATOR * both >= NUMERATOR * (n + m - both)
+
+
 def _least(n: int) -> int:
     """Smallest overlap of a set of n with a similar set that is not larger."""
     return -(-NUMERATOR * n // DENOMINATOR)
@@ -110,18 +132,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Node and size of every document, and the task's share of the sketch."""
     hashes, counts, seen = _Hashes(), np.zeros(COUNTERS, dtype=np.int64), set()
     for batch in batches:
-        nodes, sizes, fresh = [], [], []
+        nodes, sizes, bits, fresh = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text, hashes)
             nodes.append(set_key(s))
             sizes.append(len(s))
+            bits.append(bitmap(s))
             if nodes[-1] not in seen:
                 seen.add(nodes[-1])
                 fresh.append(s)
         if fresh:
             counts += np.bincount((np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         k = len(nodes)
-        yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_SET_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.array(bits, pa.binary())], schema=_SET_ROWS)
     if counts.any():
         yield pa.RecordBatch.from_pylist([{"kind": "sketch", "slice": i, "counts": c.tobytes()} for i, c in enumerate(np.split(counts, SLICES))], schema=_SET_ROWS)
 
@@ -153,10 +176,14 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _sets(documents: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, shingles) of the needed nodes: a filter of fixed size spares the others the shuffle."""
-    bit = F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = needed.select(F.floor(bit / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST((node & {FILTER_BITS - 1}) % 32 AS INT))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+def _sets(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in ``pairs``, from the text of each one's first document.
+
+    A filter of fixed size over the documents' ids spares most others the work; it may let some through, which changes nothing.
+    """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = nodes.join(needed, "node", "left_semi").filter("least IS NOT NULL").select(F.pmod(F.xxhash64("least"), F.lit(FILTER_BITS)).alias("bit"))
+    words = ids.select(F.floor(F.col("bit") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(bit % 32 AS INT))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     table = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
     for row in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
         table[row["word"]] = row["bits"]
@@ -166,19 +193,20 @@ def _sets(documents: DataFrame, needed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, table = _Hashes(), set(), shared.value
         for batch in batches:
+            bit = batch.column(1).to_numpy(zero_copy_only=False)
+            open_ = (table[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool) | batch.column(2).to_numpy(zero_copy_only=False)
             nodes, sets = [], []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).filter(pa.array(open_)).to_pylist():
                 s = shingles(text, hashes)
-                key = set_key(s)
-                at = key & (FILTER_BITS - 1)
-                if key not in seen and int(table[at >> 5]) >> (at & 31) & 1:
+                if (key := set_key(s)) not in seen:
                     seen.add(key)
                     nodes.append(key)
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], schema=schema)
 
-    rows = documents.select("text").mapInArrow(run, "node long, shingles binary")
-    return rows.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    rows = documents.select("text", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("bit"), F.col("id").isNull().alias("unnamed"))
+    rows = rows.mapInArrow(run, "node long, shingles binary").join(needed, "node", "left_semi")
+    return materialise(rows.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def _similar(a: bytes, b: bytes) -> bool:
@@ -187,14 +215,31 @@ def _similar(a: bytes, b: bytes) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _open(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs that the bitmaps do not rule out."""
+    possible = F.udf(_possible, "boolean", useArrow=True)
+    side = lambda name, x: nodes.select(F.col("node").alias(name), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.filter(possible("x_bits", "x_n", "y_bits", "y_n")).select(*pairs.columns)
+
+
+def _linked(pairs: DataFrame, documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar."""
-    similar = F.udf(_similar, "boolean", useArrow=True)
+    sets, similar = _sets(documents, nodes, pairs), F.udf(_similar, "boolean", useArrow=True)
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return materialise(pairs.join(left, "a").join(right, "b").filter(similar("x", "y")).select("a", "b"))
 
 
+_OWN = [f"at{i} < n{i} - ceil({2 * NUMERATOR} * n{i} / {NUMERATOR + DENOMINATOR}) + 1" for i in (1, 2)]
+#: Sizes and positions in a list leave room for similarity: the smaller set is listed early enough, and enough elements follow in both.
+_ROOM = (
+    f"{DENOMINATOR} * least(n1, n2) >= {NUMERATOR} * greatest(n1, n2) "
+    f"AND 1 + least(n1 - at1 - 1, n2 - at2 - 1) >= ceil({NUMERATOR} * (n1 + n2) / {NUMERATOR + DENOMINATOR}) "
+    f"AND (n1 <= n2 AND {_OWN[0]} OR n2 <= n1 AND {_OWN[1]})"
+)
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable by links of similarity 0.8 or more).
 
@@ -206,6 +251,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialise(docs.mapInArrow(_describe, "kind string, id long, node long, n long, slice int, counts binary"), "kind")
     described = rows.filter("kind = 'doc'").select("id", "node", "n")
+    nodes = rows.filter("kind = 'doc'").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("counts").alias("bits"))
+    nodes = materialise(nodes)
     parts = rows.filter("kind = 'sketch'").select("slice", "counts").repartition(task_count(spark), "slice").mapInArrow(_summed, "slice int, counts binary")
     counts = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int64)
     for row in parts.toLocalIterator():  # SLICES rows
@@ -235,13 +282,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     postings = docs.select("text").mapInArrow(listed, "key long, node long, n int, at int").groupBy("key", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
     row = Window.partitionBy("key").orderBy("n", F.xxhash64("node", "key"))
-    ranked = postings.withColumn("prev", F.lag("node").over(row)).withColumn("prev_n", F.lag("n").over(row)).withColumn("next", F.lead("node").over(row))
-    lists = materialise(ranked.filter("prev IS NOT NULL OR next IS NOT NULL").drop("next"))
-    in_size = f"{DENOMINATOR} * prev_n >= {NUMERATOR} * n"
-    chain = lists.filter("prev IS NOT NULL").filter(in_size).select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
-    chain = materialise(chain)
-    sets = materialise(_sets(docs, lists.select("node").distinct()))
-    links = _linked(chain, sets)
+    ranked = postings.withColumn("prev", F.lag(F.struct("node", "n", "at")).over(row)).withColumn("next", F.lead("node").over(row))
+    lists = materialise(ranked.filter("prev IS NOT NULL OR next IS NOT NULL").select("key", "node", "n", "at", "prev"))
+    near = lists.filter("prev IS NOT NULL").select(*[F.col(c).alias(f"{c}1") for c in ("node", "n", "at")], *[F.col(f"prev.{c}").alias(f"{c}2") for c in ("node", "n", "at")])
+    near = near.filter(_ROOM).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    near = materialise(_open(near, nodes))
+    # tested first: each node with the neighbours it meets most often; the rest is left to the pairs across components
+    best = Window.partitionBy("own").orderBy(F.desc("shared"), F.xxhash64("a", "b"))
+    chain = near.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("own")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= FIRST)
+    chain = materialise(chain.select("a", "b").distinct())
+    links = _linked(chain, docs, nodes)
     first = components(links)
     labelled = lists.select("key", "node", "n", "at").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
@@ -249,18 +299,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     mixed = materialise(labelled.join(biggest, "key"))
     one = mixed.filter("root <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "root")])
     two = mixed.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root")])
-    need = f"ceil({NUMERATOR} * (n1 + n2) / {NUMERATOR + DENOMINATOR})"
-    own = lambda i: f"at{i} < n{i} - ceil({2 * NUMERATOR} * n{i} / {NUMERATOR + DENOMINATOR}) + 1"
-    across = one.join(two, "key").filter("root1 <> root2").filter(
-        f"{DENOMINATOR} * least(n1, n2) >= {NUMERATOR} * greatest(n1, n2) AND 1 + least(n1 - at1 - 1, n2 - at2 - 1) >= {need} "
-        f"AND (n1 <= n2 AND {own(1)} OR n2 <= n1 AND {own(2)})"
-    )
+    across = one.join(two, "key").filter("root1 <> root2").filter(_ROOM)
     pairs = across.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(chain, ["a", "b"], "left_anti")
-    more = _linked(pairs, sets)
+    more = _linked(materialise(_open(pairs, nodes)), docs, nodes)
     roots = components(links.unionByName(more))
-    nodes = described.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(smallest, "root").select("node", "component_id")
+    rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(smallest, "root").select("node", "component_id")
     return described.join(named, "node").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
