@@ -27,13 +27,13 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Counters of the shingle sketch, in slices for summing, and bits of the filter of needed documents: both of fixed size.
 COUNTERS, SLICES, FILTER_BITS = 1 << 20, 256, 1 << 23
 #: Neighbours a node is compared with before components are known.
-FIRST = 3
+FIRST = 12
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -55,6 +55,13 @@ def shingles(text: str | None, hashes: dict, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, to bound what a task holds at once."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def set_key(shingle_set: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingle_set.tobytes(), seed=len(shingle_set)) - (1 << 63)
 
@@ -131,7 +138,7 @@ _SET_ROWS = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("node", pa.in
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Node and size of every document, and the task's share of the sketch."""
     hashes, counts, seen = _Hashes(), np.zeros(COUNTERS, dtype=np.int64), set()
-    for batch in batches:
+    for batch in _slices(batches):
         nodes, sizes, bits, fresh = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text, hashes)
@@ -142,7 +149,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(nodes[-1])
                 fresh.append(s)
         if fresh:
-            counts += np.bincount((np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            at, more = np.unique((np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+            counts[at] += more
         k = len(nodes)
         yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.array(bits, pa.binary())], schema=_SET_ROWS)
     if counts.any():
@@ -192,7 +200,7 @@ def _sets(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, table = _Hashes(), set(), shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             bit = batch.column(1).to_numpy(zero_copy_only=False)
             open_ = (table[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1)).astype(bool) | batch.column(2).to_numpy(zero_copy_only=False)
             nodes, sets = [], []
@@ -266,7 +274,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, table = _Hashes(), set(), shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             keys, nodes, sizes, at = [], [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text, hashes)
