@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Characters from one chunk's start to the next, and characters two neighbours share.
-CHUNK, OVERLAP = 32_768, 2_048
+CHUNK, OVERLAP = 65_536, 2_048
 #: A match may depend on so many characters behind its end (the longest contraction of the pattern).
 AHEAD = 4
 #: Pieces a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: White space as the pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 
@@ -176,18 +176,18 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
         text = "".join(r["text"][: chunk if r["k"] < len(parts) - 1 else None] for r in parts)
         return pa.table({"id": table.column("id")[:1], "ids": pa.array([Encoder.of(key, shared, pattern).encode(text)], pa.binary())})
 
-    short = _map(rows.filter(F.length("text") <= chunk), whole, direct)
-    chunks = materialise(_map(rows.filter(F.length("text") > chunk), "row string, id long, k int, n int, text string", split))
-    dealt = chunks.repartition("row", "k")
-    marks = materialise(_map(dealt.select("row", "k", "n", "text"), "row string, k int, head array<int>, tail array<int>", boundaries))
+    short = _map(rows.filter(F.length("text") <= chunk + overlap), whole, direct)
+    chunks = _map(rows.filter(F.length("text") > chunk + overlap), "row string, id long, k int, n int, text string", split)
+    chunks = materialise(chunks.repartition("row", "k"))
+    marks = materialise(_map(chunks.select("row", "k", "n", "text"), "row string, k int, head array<int>, tail array<int>", boundaries))
     next_head = marks.select("row", (F.col("k") - 1).alias("k"), "head")
     cuts = marks.drop("head").join(next_head, ["row", "k"]).select("row", "k", F.array_min(F.array_intersect("tail", "head")).alias("cut"))
-    lost = cuts.groupBy("row").agg(F.max(F.col("cut").isNull()).alias("lost")).filter("lost").select("row")
+    lost = cuts.groupBy("row").agg(F.max(F.col("cut").isNull()).alias("lost"))
     order = Window.partitionBy("row").orderBy("k")
     chunk_cuts = marks.select("row", "k").join(cuts, ["row", "k"], "left").select("row", "k", F.coalesce(F.lag("cut").over(order), F.lit(0)).alias("begin"), F.col("cut").alias("end"))
-    bounded = chunks.join(chunk_cuts, ["row", "k"]).join(lost, "row", "left_anti").select("row", "id", "k", "text", "begin", "end")
-    long = _map(bounded, "row string, id long, k int, ids binary", pieces).groupBy("row").applyInArrow(joined, whole)
-    rest = chunks.join(lost, "row", "left_semi").groupBy("row").applyInArrow(rejoined, whole)
+    bounded = chunks.join(chunk_cuts.join(lost, "row"), ["row", "k"])
+    long = _map(bounded.filter("NOT lost").select("row", "id", "k", "text", "begin", "end"), "row string, id long, k int, ids binary", pieces).groupBy("row").applyInArrow(joined, whole)
+    rest = bounded.filter("lost").select("row", "id", "k", "text").groupBy("row").applyInArrow(rejoined, whole)
     out = short.unionByName(long).unionByName(rest)
     return out.select(F.col("id").alias(id_col), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
