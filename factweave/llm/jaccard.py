@@ -5,8 +5,9 @@ a large set scans the inverted lists of its rarest shingles, so many that a simi
 size at which a set's subsets cost no more than its lists, whose mean length a fixed-size count sketch of all shingles tells.
 
 Lists are not expanded into all pairs. First only neighbours in each list are compared and linked nodes gathered into components; then,
-for every list that still spans several components, all its pairs across components are compared. So a large group of near copies costs
-about its size, and no link between components is lost.
+for every list that still spans several components, its pairs across components are compared. So a large group of near copies costs
+about its size, and no link between components is lost. Parities of the shingles' hashes rule most dissimilar pairs out, those across
+components inside the join itself: every parity that differs is a shingle that only one side has.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import materialise, task_count
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Counters of the shingle sketch, in slices for summing, and bits of the filter of needed documents: both of fixed size.
 COUNTERS, SLICES, FILTER_BITS = 1 << 20, 256, 1 << 23
+#: Bits of the signature that the join across components compares.
+SIGNED = 512
 #: Neighbours a node is compared with before components are known.
 FIRST = 12
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -66,24 +69,26 @@ def set_key(shingle_set: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingle_set.tobytes(), seed=len(shingle_set)) - (1 << 63)
 
 
-def bitmap(shingle_set: np.ndarray) -> bytes:
-    """One bit for each value of the hashes' last bits, about twice as many bits as shingles."""
-    size = max(64, 1 << (2 * len(shingle_set)).bit_length())
-    out = np.zeros(size, dtype=np.uint8)
-    out[shingle_set & np.uint64(size - 1)] = 1
-    return np.packbits(out).tobytes()
+def parities(shingle_set: np.ndarray) -> np.ndarray:
+    """For each value of the hashes' last bits, whether an odd number of shingles has it: at least SIGNED values, two to four a shingle."""
+    size = max(SIGNED, 1 << (2 * len(shingle_set)).bit_length())
+    return (np.bincount((shingle_set & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+
+
+def signature(parity: np.ndarray) -> list[int]:
+    """The parities folded to SIGNED bits, as longs."""
+    return np.packbits(np.bitwise_xor.reduce(parity.reshape(-1, SIGNED), axis=0)).view(np.int64).tolist()
 
 
 def _possible(a: bytes, n: int, b: bytes, m: int) -> bool:
-    """Whether the bitmaps leave room for similarity: every bit that only one side has is an element the other lacks."""
+    """Whether the parities leave room for similarity: sets differ in at least as many shingles as parities."""
     while len(a) != len(b):  # fold the longer one
         if len(a) < len(b):
-            a, n, b, m = b, m, a, n
+            a, b = b, a
         half = len(a) // 2
-        a = (int.from_bytes(a[:half]) | int.from_bytes(a[half:])).to_bytes(half)
-    x, y = int.from_bytes(a), int.from_bytes(b)
-    both = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
-    return DENOMINATOR * both >= NUMERATOR * (n + m - both)
+        a = (int.from_bytes(a[:half]) ^ int.from_bytes(a[half:])).to_bytes(half)
+    differing = (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+    return (NUMERATOR + DENOMINATOR) * differing <= (DENOMINATOR - NUMERATOR) * (n + m)
 
 
 def _least(n: int) -> int:
@@ -132,19 +137,21 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if len(values) else np.zeros(0, np.int64), pa.int64())
 
 
-_SET_ROWS = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+_SET_ROWS = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary()), ("signature", pa.list_(pa.int64()))])
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Node and size of every document, and the task's share of the sketch."""
     hashes, counts, seen = _Hashes(), np.zeros(COUNTERS, dtype=np.int64), set()
     for batch in _slices(batches):
-        nodes, sizes, bits, fresh = [], [], [], []
+        nodes, sizes, bits, signatures, fresh = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text, hashes)
             nodes.append(set_key(s))
             sizes.append(len(s))
-            bits.append(bitmap(s))
+            parity = parities(s)
+            bits.append(np.packbits(parity).tobytes())
+            signatures.append(signature(parity))
             if nodes[-1] not in seen:
                 seen.add(nodes[-1])
                 fresh.append(s)
@@ -152,7 +159,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, more = np.unique((np.concatenate(fresh) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
             counts[at] += more
         k = len(nodes)
-        yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.array(bits, pa.binary())], schema=_SET_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(["doc"] * k), batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.array(bits, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))], schema=_SET_ROWS)
     if counts.any():
         yield pa.RecordBatch.from_pylist([{"kind": "sketch", "slice": i, "counts": c.tobytes()} for i, c in enumerate(np.split(counts, SLICES))], schema=_SET_ROWS)
 
@@ -224,7 +231,7 @@ def _similar(a: bytes, b: bytes) -> bool:
 
 
 def _open(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that the bitmaps do not rule out."""
+    """The pairs that the parities do not rule out."""
     possible = F.udf(_possible, "boolean", useArrow=True)
     side = lambda name, x: nodes.select(F.col("node").alias(name), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
@@ -246,6 +253,9 @@ _ROOM = (
     f"AND 1 + least(n1 - at1 - 1, n2 - at2 - 1) >= ceil({NUMERATOR} * (n1 + n2) / {NUMERATOR + DENOMINATOR}) "
     f"AND (n1 <= n2 AND {_OWN[0]} OR n2 <= n1 AND {_OWN[1]})"
 )
+_DIFFERING = " + ".join(f"bit_count(signature1[{i}] ^ signature2[{i}])" for i in range(SIGNED // 64))
+#: Signatures leave room for similarity, as ``_possible`` says of parities.
+_CLOSE = f"{NUMERATOR + DENOMINATOR} * ({_DIFFERING}) <= {DENOMINATOR - NUMERATOR} * (n1 + n2)"
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,9 +267,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(docs.mapInArrow(_describe, "kind string, id long, node long, n long, slice int, counts binary"), "kind")
+    rows = materialise(docs.mapInArrow(_describe, "kind string, id long, node long, n long, slice int, counts binary, signature array<long>"), "kind")
     described = rows.filter("kind = 'doc'").select("id", "node", "n")
-    nodes = rows.filter("kind = 'doc'").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("counts").alias("bits"))
+    nodes = rows.filter("kind = 'doc'").groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("counts").alias("bits"), F.first("signature").alias("signature"))
     nodes = materialise(nodes)
     parts = rows.filter("kind = 'sketch'").select("slice", "counts").repartition(task_count(spark), "slice").mapInArrow(_summed, "slice int, counts binary")
     counts = np.zeros((SLICES, COUNTERS // SLICES), dtype=np.int64)
@@ -304,10 +314,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     labelled = lists.select("key", "node", "n", "at").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     spread = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
     biggest = spread.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    mixed = materialise(labelled.join(biggest, "key"))
-    one = mixed.filter("root <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "root")])
-    two = mixed.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root")])
-    across = one.join(two, "key").filter("root1 <> root2").filter(_ROOM)
+    mixed = materialise(labelled.join(biggest, "key").join(nodes.select("node", "signature"), "node"))
+    one = mixed.filter("root <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("node", "n", "at", "root", "signature")])
+    two = mixed.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "at", "root", "signature")])
+    across = one.join(two, "key").filter("root1 <> root2").filter(_ROOM).filter(_CLOSE)
     pairs = across.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(chain, ["a", "b"], "left_anti")
     more = _linked(materialise(_open(pairs, nodes)), docs, nodes)
     roots = components(links.unionByName(more))
