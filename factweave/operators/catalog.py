@@ -275,21 +275,26 @@ def load_findings(ids: DataFrame, primary: DataFrame, fallback: DataFrame, by: l
 # --- versions ----------------------------------------------------------------------------------------------------------
 
 
-def _ends(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """Last id reached from each linked id over ``links`` (id -> next), by pointer doubling; a cycle ends inside itself."""
+def _ends(links: DataFrame) -> DataFrame:
+    """Last id reached from each linked id over ``links`` (id -> next, one a row), by pointer doubling.
+
+    A chain of n links is walked after about log2(n) rounds; whatever has no end by then leads into a cycle, whose smallest
+    id is its end.
+    """
     last = links.select(F.col("next").alias("id")).distinct().join(links.select("id"), "id", "left_anti")
     state = checkpoint(
-        links.select("id", F.col("next").alias("end"), F.lit(True).alias("moved"))
-        .unionByName(last.select("id", F.col("id").alias("end"), F.lit(False).alias("moved")))
+        links.select("id", F.col("next").alias("end"), F.col("next").alias("low"), F.lit(False).alias("closed"))
+        .unionByName(last.select("id", F.col("id").alias("end"), F.col("id").alias("low"), F.lit(True).alias("closed")))
     )
-    for _ in range(rounds):
-        jump = state.select(F.col("id").alias("end"), F.col("end").alias("far"))
-        state = checkpoint(
-            state.select("id", "end").join(jump, "end").select("id", F.col("far").alias("end"), (F.col("far") != F.col("end")).alias("moved"))
-        )
-        if not state.filter("moved").limit(1).count():
-            break
-    return state.select("id", "end")
+    for _ in range(state.count().bit_length() + 1):
+        if not state.filter("NOT closed").limit(1).count():
+            return state.select("id", "end")
+        jump = state.select(F.col("id").alias("end"), F.col("end").alias("far"), F.col("low").alias("far_low"), F.col("closed").alias("far_closed"))
+        state = checkpoint(state.join(jump, "end").select(
+            "id", F.col("far").alias("end"), F.least("low", "far_low").alias("low"), F.col("far_closed").alias("closed")
+        ))
+    inside = state.select(F.col("id").alias("end"), F.col("low").alias("cycle"))
+    return state.join(inside, "end").select("id", F.when(F.col("closed"), F.col("end")).otherwise(F.col("cycle")).alias("end"))
 
 
 def version_history(findings: DataFrame) -> DataFrame:

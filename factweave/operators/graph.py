@@ -264,7 +264,7 @@ def experts(visited: DataFrame, nodes: DataFrame) -> DataFrame:
 # --- components and communities ----------------------------------------------------------------------------------------
 
 
-def components(ids: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(ids: DataFrame, links: DataFrame) -> DataFrame:
     """(id, root): smallest id of each connected component.
 
     Every round a node takes the smallest root among its neighbours and then its root's root; minima are pre-aggregated
@@ -275,15 +275,14 @@ def components(ids: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
         F.struct(c("source").alias("id"), c("target").alias("other")), F.struct(c("target").alias("id"), c("source").alias("other"))
     )).alias("w")).select("w.id", "w.other").distinct())
     state = checkpoint(ids.select("id").distinct().select("id", c("id").alias("root")))
-    for _ in range(rounds):
+    while True:
         near = ways.join(state.select(c("id").alias("other"), "root"), "other").groupBy("id").agg(F.min("root").alias("near"))
         step = state.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
         jump = step.select(c("id").alias("low"), c("low").alias("far"))
         moved = checkpoint(step.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("new"), "root"))
-        if not moved.filter(c("new") != c("root")).limit(1).count():
-            break
         state = moved.select("id", c("new").alias("root"))
-    return state
+        if not moved.filter(c("new") != c("root")).limit(1).count():
+            return state
 
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -291,7 +290,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
 
     A node takes the label with the largest summed weight among its neighbours and itself (weight one), the smallest label
     on ties. The halves of a hash of the id take turns, so that two sides cannot swap labels for ever. Without edges all
-    nodes share one fallback community. Weights add up as millionths, which does not depend on their order.
+    nodes share one fallback community. Weights add up as millionths, which does not depend on their order. Labels that still
+    move after ``rounds`` are an error, not a result.
     """
     c = F.col
     ids = nodes.select("id").distinct()
@@ -316,8 +316,8 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
         still = 0 if moved.filter("_moved").limit(1).count() else still + 1
         state = moved.select("id", "community")
         if still == 2:
-            break
-    return state
+            return state
+    raise RuntimeError(f"labels still move after {rounds} rounds; ask for more")
 
 
 def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -519,12 +519,12 @@ def vector_coverage(ids: DataFrame, vectors: DataFrame, dim: int) -> tuple[DataF
 
 
 def embedding_backlog(texts: DataFrame, cache: DataFrame, model: str, batch: int = 8) -> DataFrame:
-    """Distinct text hashes without a cached vector, numbered in batches of ``batch`` in hash order.
+    """Distinct hashes of whole texts without a cached vector, numbered in batches of ``batch`` in hash order.
 
     The first four hex digits make 65 536 even ranges whatever the data; a number is the rank inside the range plus the
     sizes of the ranges before, so no task sees all rows.
     """
-    keyed = texts.select(F.sha2(F.substring("text", 1, 8000), 256).alias("sha")).distinct()
+    keyed = texts.select(F.sha2("text", 256).alias("sha")).distinct()
     open_rows = keyed.join(cache.filter(F.col("model") == model).select("sha"), "sha", "left_anti")
     ranged = open_rows.withColumn("_r", F.substring("sha", 1, 4))
     counts = ranged.groupBy("_r").agg(F.count("*").alias("_n"))

@@ -189,7 +189,8 @@ def answer_metrics(answer_findings: DataFrame, by: str = "query_id") -> DataFram
         n.alias("findings"), (F.count_if("_cited") / n).alias("citation_coverage"),
         F.when(numeric > 0, F.count_if(c("_cited") & c("_numeric")) / numeric).otherwise(1.0).alias("numeric_support"),
         (F.count_if(~c("grounded")) / n).alias("unsupported_ratio"), (F.count_if("content_match") / n).alias("content_match"),
-        F.avg("confidence").alias("mean_confidence"),
+        # Millionths add up to the same sum in any order.
+        (F.sum(F.round(c("confidence") * 1_000_000).cast("bigint")) / (n * 1_000_000)).alias("mean_confidence"),
     )
 
 

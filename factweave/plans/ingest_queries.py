@@ -287,11 +287,11 @@ def vector_coverage(spark, sf):
 
 
 @query("embedding_backlog", """
-WITH k AS (SELECT DISTINCT sha256(substr(text,1,8000)) AS sha FROM documents), o AS (SELECT sha FROM k WHERE sha NOT IN (SELECT sha256(substr(text,1,8000)) FROM documents WHERE lang='en'))
+WITH k AS (SELECT DISTINCT sha256(text) AS sha FROM documents), o AS (SELECT sha FROM k WHERE sha NOT IN (SELECT sha256(text) FROM documents WHERE lang='en'))
 SELECT sha, 'm1' AS model, ((row_number() OVER (ORDER BY sha)-1)//8)::BIGINT AS batch FROM o""")
 def embedding_backlog(spark, sf):
     d = T.table(spark, sf, "documents")
-    cache = d.filter("lang = 'en'").select(F.sha2(F.substring("text", 1, 8000), 256).alias("sha"), F.lit("m1").alias("model")).distinct()
+    cache = d.filter("lang = 'en'").select(F.sha2("text", 256).alias("sha"), F.lit("m1").alias("model")).distinct()
     return I.embedding_backlog(d, cache, "m1")
 
 

@@ -115,7 +115,7 @@ def content_match(spark, sf):
 
 
 _AM = """a AS (SELECT n_name||' '||yr AS query_id, count(*) AS findings, 1.0 AS citation_coverage, 1.0 AS numeric_support, count(*) FILTER (len(missing)>0)/count(*) AS unsupported_ratio,
- count(*) FILTER (matched)/count(*) AS content_match, avg(confidence) AS mean_confidence FROM t_gr g JOIN t_cm c ON c.id=g.id GROUP BY ALL)"""
+ count(*) FILTER (matched)/count(*) AS content_match, sum(round(confidence*1000000)::BIGINT)/(count(*)*1000000) AS mean_confidence FROM t_gr g JOIN t_cm c ON c.id=g.id GROUP BY ALL)"""
 
 
 def answer_rows(spark, sf):
