@@ -221,3 +221,17 @@ def test_fixity_audit(spark):
     got = {(r.file, r.offset, r.kind) for r in warc.audit(left, right, range_bytes=4096, fanout=4).collect()}
     assert got == {("a", 77_000, "missing"), ("a", 123_000, "changed"), ("a", 999_999, "extra"), ("c", 0, "extra")}
     assert warc.audit(left, left).count() == 0 and warc.audit(left.limit(0), left.limit(0)).count() == 0
+
+
+def test_parities_never_rule_out_similar_sets():
+    draw = np.random.default_rng(3)
+    for size in (1, 4, 40, 146, 900, 5_000):
+        for changed in (0, size // 10, size // 9, size // 8):
+            base = draw.integers(0, 1 << 63, size + changed, dtype=np.uint64)
+            a, b = np.unique(base[:size]), np.unique(base[changed:])
+            x, y = jaccard.parities(a), jaccard.parities(b)
+            differing = len(np.setxor1d(a, b))
+            signed = sum(((i ^ j) & (1 << 64) - 1).bit_count() for i, j in zip(jaccard.signature(x), jaccard.signature(y), strict=True))
+            assert signed <= differing
+            if 100 * (size - changed) >= 80 * (size + changed):
+                assert jaccard._possible(np.packbits(x).tobytes(), len(a), np.packbits(y).tobytes(), len(b))
