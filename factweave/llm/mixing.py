@@ -53,8 +53,8 @@ def due(share: Column, begin: Column, end: Column) -> Column:
     return share * (begin + end) / (begin + F.sqrt(begin * begin + (end * end - begin * begin) * share))
 
 
-def curriculum(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """One row per document: ``row`` (its columns), ``size``, ``source_size``, ``target``, ``taken``, ``begun``, ``begin``, ``end``.
+def curriculum(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple = ("*",), **targets) -> DataFrame:
+    """One row per document: ``row`` (its columns, or those of ``keep``), ``size``, ``source_size``, ``target``, ``taken``, ``begun``, ``begin``, ``end``.
 
     Documents of a source stand in the order of the MD5 of their id, so reruns agree. ``taken`` counts words with repeats: every whole
     pass over the source, and in the last pass what the target still asks for; only one document of a source is taken in part.
@@ -64,7 +64,7 @@ def curriculum(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Running sums are built from two levels of about sqrt(rows) steps each, so a source that holds most rows is spread over its slices.
     """
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary"))
-    rows = documents.select(F.struct("*").alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("order"))
+    rows = documents.select(F.struct(*keep).alias("row"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("order"))
     sizes = materialise(rows.select("source", "size", "order"))
     digits = max(1, math.ceil(math.log(max(1, sizes.count()), 16) / 2))
     slice_ = F.substring("order", 1, digits)

@@ -83,8 +83,9 @@ SELECT doc_id, size, source_size, target,
 FROM runs
 """)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.positions(mixing.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).withColumn("row", F.struct("row.doc_id")))
-    return placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last()).select("row.doc_id", "size", "source_size", "target", "taken")
+    placed = mixing.positions(mixing.curriculum(table(spark, sf_dir, "documents"), keep=("doc_id",)))
+    # the id spreads documents without a position over tasks too
+    return placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "row.doc_id").select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op10_topk", """
