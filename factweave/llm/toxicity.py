@@ -76,7 +76,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     vector = F.udf(lambda t: features(t).tobytes(), "binary", useArrow=True)
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     found = rows.select("id", "y", vector("text").alias("found")).repartition(PARTS, "id").sortWithinPartitions(F.xxhash64("id"), "id", "found")
-    counted = materialise(found.select("y", "found"))
+    counted = materialise(found.select("y", "found")).coalesce(PARTS)  # however many tasks would read it back
 
     def counts(rows: list[dict]) -> np.ndarray:
         out = np.zeros((2, BUCKETS + 1))
