@@ -2,8 +2,9 @@
 
 Every DOM node gets its characters per tag, adjusted for the links among them; a node's density sum adds up its children's densities.
 The smallest density on the path from the node of the largest sum up to the body is the threshold: under every node that reaches it,
-the node of the largest sum is content, and the subtree that holds all content is the article. Blocks that the page itself marks as
-something else (menus, forms, adverts, comments ...) are no part of the tree.
+the node of the largest sum is content, and the subtree that holds all content is the article, whatever its tag; headings directly
+before it come with it. Blocks that the page itself marks as something else (menus, forms, adverts, comments ...) are no part of the
+tree.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,9 @@ _MARKED = frozenset(
 )
 _ONLY_OUTSIDE = frozenset({"header", "masthead"})
 _COMMENT = frozenset({"comment", "comments", "disqus", "replies", "respond"})
+#: What can be a whole article: no paragraph, list, table or inline element is, however dense its parts are.
+_WHOLE = frozenset("html body main article section div td center".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: Containers with so many links are link lists if links hold so much of their text.
 _LISTS, _LINKS, _LINKED = frozenset("ul ol dl div section table".split()), 3, 0.66
 
@@ -144,6 +149,10 @@ def _tree(page: str) -> list[_Node]:
     return nodes
 
 
+def _characters(node: _Node) -> int:
+    return sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+
+
 def _close(stack: list[_Node], names: set[str], limits: set[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name in names:
@@ -156,7 +165,7 @@ def _close(stack: list[_Node], names: set[str], limits: set[str]) -> None:
 def _measure(nodes: list[_Node]) -> None:
     """Characters, tags, linked characters and links of every subtree, then densities and their sums."""
     for node in reversed(nodes):
-        node.chars += sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
+        node.chars += _characters(node)
         if node.name == "a":
             node.linked, node.links = node.chars, node.links + 1
         if node.parent is not None:
@@ -168,44 +177,64 @@ def _measure(nodes: list[_Node]) -> None:
         chars, tags, linked, links = node.chars, max(1, node.tags), max(1, node.linked), max(1, node.links)
         if not node.chars:
             continue
-        base = math.log(chars / max(1, chars - node.linked) * node.linked + ratio * chars + math.e)
-        node.density = chars / tags * math.log(max(chars / linked * tags / links, 1.0)) / math.log(max(base, 1 + 1e-9)) if base > 1 else chars / tags * math.log(max(chars / linked * tags / links, 1.0))
+        base = math.log(chars / max(1, chars - node.linked) * linked + ratio * chars + math.e)
+        node.density = chars / tags * math.log(max(chars / linked * tags / links, 1.0)) / math.log(base)
         if node.parent is not None:
             node.parent.sum += node.density
 
 
-def _article(nodes: list[_Node]) -> _Node:
-    """The subtree that holds all content nodes; within an article or main element, that element."""
+def _article(nodes: list[_Node]) -> tuple[list[_Node], set[int]]:
+    """The subtree that holds all content nodes, after the headings that stand directly before it; and what is no part of it.
+
+    That is nothing in a content node. A parent that only joins several of them also holds menus: its link lists outside all content.
+    """
     body = next((n for n in nodes if n.name == "body"), nodes[0])
+    for node in nodes:
+        if node.name not in _WHOLE and "-" not in node.name:
+            node.sum = 0.0
     best = max(nodes, key=lambda n: n.sum)
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    largest: dict[int, _Node] = {}
-    for node in reversed(nodes):
-        own = largest.get(id(node), node)
-        own = node if node.sum >= own.sum else own
-        largest[id(node)] = own
-        if node.parent is not None and own.sum > largest.get(id(node.parent), node.parent).sum:
-            largest[id(node.parent)] = own
-    common: list[_Node] | None = None
-    for node in nodes:
-        if node.items and node.sum > 0 and node.density >= threshold and node.name in ("article", "main", "section", "div", "td", "body", "html"):
-            line, up = [], largest[id(node)]
-            while up is not None:
-                line.append(up)
-                up = up.parent
-            line.reverse()
-            common = line if common is None else [a for a, b in zip(common, line, strict=False) if a is b]
-    chosen = common[-1] if common else best
-    up: _Node | None = chosen
-    while up is not None:
-        if up.name in ("article", "main"):
-            return up
-        up = up.parent
-    inner = [n for n in nodes if n.name in ("article", "main") and n.chars > 0.5 * chosen.chars]
-    return inner[0] if inner else chosen
+    place = {id(n): i for i, n in enumerate(nodes)}
+    last, largest = list(range(len(nodes))), list(range(len(nodes)))
+    for i in range(len(nodes) - 1, 0, -1):
+        up = place[id(nodes[i].parent)]
+        last[up] = max(last[up], last[i])
+        if nodes[largest[i]].sum >= nodes[largest[up]].sum and nodes[largest[i]].sum > nodes[up].sum:
+            largest[up] = largest[i]
+    content = sorted({largest[i] for i, n in enumerate(nodes) if n.chars and n.density >= threshold} or {place[id(best)]})
+    first, end = content[0], max(last[i] for i in content)
+    while last[first] < end:
+        first = place[id(nodes[first].parent)]
+    outside: set[int] = set()
+    i = first
+    while i <= last[first]:
+        node, at = nodes[i], bisect_left(content, i)
+        if at < len(content) and content[at] == i:
+            i = last[i] + 1
+        elif node.name in _LISTS and node.links >= _LINKS and node.linked > _LINKED * node.chars and (at == len(content) or content[at] > last[i]):
+            outside.add(id(node))
+            i = last[i] + 1
+        else:
+            i += 1
+    return [*_headings(nodes[first], body), nodes[first]], outside
+
+
+def _headings(chosen: _Node, body: _Node) -> list[_Node]:
+    """Headings between the subtree and any text before it."""
+    found: list[_Node] = []
+    node = chosen
+    while node is not body and node.parent is not None:
+        items = node.parent.items
+        for item in reversed(items[: next(i for i, x in enumerate(items) if x is node)]):
+            if isinstance(item, _Node) and item.name in _HEADINGS:
+                found.insert(0, item)
+            elif item.chars if isinstance(item, _Node) else item and item.strip():
+                return found
+        node = node.parent
+    return found
 
 
 def main_text(page: str | None) -> str:
@@ -214,7 +243,6 @@ def main_text(page: str | None) -> str:
         return ""
     nodes = _tree(page)
     _measure(nodes)
-    top = _article(nodes)
     blocks: list[str] = []
     words: list[str] = []
 
@@ -223,16 +251,15 @@ def main_text(page: str | None) -> str:
             blocks.append(block)
         words.clear()
 
-    todo: list = [top]
+    tops, outside = _article(nodes)
+    todo: list = tops[::-1]
     while todo:
         item = todo.pop()
         if item is None or item == "":
             flush()
         elif isinstance(item, str):
             words.append(item)
-        else:
-            if item is not top and item.name in _LISTS and item.links >= _LINKS and item.linked > _LINKED * item.chars:
-                continue
+        elif id(item) not in outside:
             if item.name in _BLOCKS:
                 flush()
                 todo.append(None)

@@ -199,6 +199,20 @@ def test_html_text(spark):
     assert [r.n_chars for r in got] == [len(r.text) for r in got] and sorted(r.n_chars for r in got)[:2] == [0, 0]
 
 
+def test_html_text_density_decides():
+    line = "word and more text in a long line of prose here. " * 8
+    many = lambda n, word: "".join(f"<p>{word}{i} {line}</p>" for i in range(n))
+    lines = lambda *parts: [f"{w}{i}" for w, n in parts for i in range(n)]
+    firsts = lambda page: [x.split()[0] for x in html_text.main_text(page).split("\n")]
+    both = lines(("a", 6), ("b", 5))
+    menu = "<div><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div>"
+    assert firsts(f"<body>{menu}<article>{many(6, 'a')}</article><article>{many(5, 'b')}</article></body>") == both
+    assert firsts(f"<body>{menu}<div><article>{many(6, 'a')}</article><div>{many(5, 'b')}</div></div></body>") == both
+    assert firsts(f"<body>{menu}<div><div>{many(6, 'a')}</div><div>{many(5, 'b')}</div></div></body>") == both
+    assert firsts(f"<main><h1>Title</h1><article>{many(3, 'a')}</article></main>") == ["Title", *lines(("a", 3))]
+    assert firsts(f"<body>{menu}<div><h1>Title</h1><div>{many(3, 'a')}</div></div><div>Short foot</div></body>") == ["Title", *lines(("a", 3))]
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, None, "late"), (None, 0, "ann", "x"), (2, 0, "system", "s")]
     turns = spark.createDataFrame(rows + [(3, 7, "ann", f"m{i}") for i in range(1500)] + [(3, 8, "bob", "end")], "conv_id LONG, turn LONG, role STRING, text STRING").withColumn("part", F.lit("q"))
