@@ -4,7 +4,7 @@ Every DOM node gets its characters per tag, adjusted for the links among them; a
 The smallest density on the path from the node of the largest sum up to the body is the threshold: under every node that reaches it,
 the node of the largest sum is content, and the subtree that holds all content is the article, whatever its tag; headings directly
 before it come with it. Blocks that the page itself marks as something else (menus, forms, adverts, comments ...) are no part of the
-tree.
+tree, unless they wrap most of its characters.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ _CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
     "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
 }
-#: Words in class, id or role that mark a node as no part of the article.
+#: A container is marked as no part of the article if a whole name in its class, id or role is made of these words only.
 _MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments disqus replies respond sidebar "
     "widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe "
@@ -44,44 +44,53 @@ _MARKED = frozenset(
 )
 _ONLY_OUTSIDE = frozenset({"header", "masthead"})
 _COMMENT = frozenset({"comment", "comments", "disqus", "replies", "respond"})
+_CONTAINERS = frozenset("div section ul ol dl table tbody tr td center".split())
 #: What can be a whole article: no paragraph, list, table or inline element is, however dense its parts are.
 _WHOLE = frozenset("html body main article section div td center".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 #: Containers with so many links are link lists if links hold so much of their text.
 _LISTS, _LINKS, _LINKED = frozenset("ul ol dl div section table".split()), 3, 0.66
 
 
 class _Node:
-    __slots__ = ("chars", "density", "items", "linked", "links", "name", "parent", "sum", "tags")
+    __slots__ = ("chars", "density", "items", "linked", "links", "marked", "name", "parent", "sum", "tags")
 
-    def __init__(self, name: str, parent: _Node | None):
-        self.name, self.parent, self.items = name, parent, []
+    def __init__(self, name: str, parent: _Node | None, marked: bool = False):
+        self.name, self.parent, self.items, self.marked = name, parent, [], marked
         self.chars = self.tags = self.linked = self.links = 0
         self.density = self.sum = 0.0
 
 
 def _dropped(name: str, attributes: str, inside: bool) -> bool:
-    """Whether the page marks the element as something other than article text."""
-    if name in _NOT_TEXT:
-        return True
-    if name == "header" and not inside:
+    """Whether the element holds no article text by its tag or is not shown."""
+    if name in _NOT_TEXT or name == "header" and not inside:
         return True
     if not attributes or name in ("html", "body"):
         return False
-    words: set[str] = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id", "role"):
-            words.update(w.lower() for w in _TOKEN.findall(value))
-        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-    if name in ("main", "article"):
-        return bool(words & _COMMENT)
-    return bool(words & _MARKED) or not inside and bool(words & _ONLY_OUTSIDE)
+    return False
+
+
+def _is_marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether a whole name in class, id or role marks the container as something other than article text."""
+    if not attributes or name not in _CONTAINERS and name not in ("main", "article"):
+        return False
+    words = _COMMENT if name in ("main", "article") else _MARKED if inside else _MARKED | _ONLY_OUTSIDE
+    for key, *values in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id", "role"):
+            for whole in next((v for v in values if v), "").split():
+                pieces = _TOKEN.findall(whole)
+                if pieces and all(x.lower() in words for x in pieces):
+                    return True
+    return False
 
 
 def _tree(page: str) -> list[_Node]:
-    """Nodes in document order, the root first. Texts are decoded; dropped elements are left out with all they hold."""
+    """Nodes in document order, the root first. Texts are decoded; dropped and marked elements are left out with all they hold."""
     root = _Node("html", None)
     nodes, stack = [root], [root]
     skipping: list[str] = []
@@ -141,18 +150,36 @@ def _tree(page: str) -> list[_Node]:
             if name not in _VOID and not attributes.endswith("/"):
                 skipping.append(name)
             continue
-        node = _Node(name, stack[-1])
+        node = _Node(name, stack[-1], _is_marked(name, attributes, inside))
         nodes.append(node)
         stack[-1].items.append(node)
         if name not in _VOID and not attributes.endswith("/"):
             stack.append(node)
-    return nodes
+    return _unmarked(nodes) if any(n.marked for n in nodes) else nodes
 
 
 def _characters(node: _Node) -> int:
     return sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
 
 
+def _unmarked(nodes: list[_Node]) -> list[_Node]:
+    """The nodes without marked ones and all they hold; a marked node around paragraphs or headings with over half of the page's characters stays."""
+    held = {id(n): _characters(n) for n in nodes}
+    wraps: set[int] = set()
+    for node in reversed(nodes[1:]):
+        held[id(node.parent)] += held[id(node)]
+        if node.name in _PROSE or id(node) in wraps:
+            wraps.add(id(node.parent))
+    gone: set[int] = set()
+    for node in nodes[1:]:
+        if id(node.parent) in gone:
+            gone.add(id(node))
+        elif node.marked and (2 * held[id(node)] <= held[id(nodes[0])] or id(node) not in wraps):
+            gone.add(id(node))
+            node.parent.items = [None if x is node else x for x in node.parent.items]
+    return [n for n in nodes if id(n) not in gone]
+
+
 def _close(stack: list[_Node], names: set[str], limits: set[str]) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name in names:

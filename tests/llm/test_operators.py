@@ -213,6 +213,17 @@ def test_html_text_density_decides():
     assert firsts(f"<body>{menu}<div><h1>Title</h1><div>{many(3, 'a')}</div></div><div>Short foot</div></body>") == ["Title", *lines(("a", 3))]
 
 
+def test_html_text_marked_names():
+    line = "word and more text in a long line of prose here. " * 8
+    prose = f"<p>First {line}</p><p>Second {line}</p>"
+    for wrapper in ('class="content has-sidebar"', 'class="post social-share-on"', "class=sidebar"):
+        assert html_text.main_text(f"<body><div {wrapper}>{prose}</div></body>").startswith("First"), wrapper
+    refs = "<ol><li><a href=1>Ref one</a><li><a href=2>Ref two</a><li><a href=3>Ref three</a></ol>"
+    page = f'<body><div>{prose}<h2 id="related-work">Related</h2><h2 id=search>Search</h2><p class="notice">Note</p>{refs}<div class="ad-banner">Buy</div></div></body>'
+    assert [x.split(" word")[0] for x in html_text.main_text(page).split("\n")] == ["First", "Second", "Related", "Search", "Note", "Ref one", "Ref two", "Ref three"]
+    assert html_text.main_text(f'<body><div class="ad">{line}</div><article><h1>Small</h1><p>Text</p></article></body>') == "Small\nText"
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, None, "late"), (None, 0, "ann", "x"), (2, 0, "system", "s")]
     turns = spark.createDataFrame(rows + [(3, 7, "ann", f"m{i}") for i in range(1500)] + [(3, 8, "bob", "end")], "conv_id LONG, turn LONG, role STRING, text STRING").withColumn("part", F.lit("q"))
