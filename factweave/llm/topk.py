@@ -70,6 +70,9 @@ def _parts(block: int, every: int, k: int):
                 if len(asked):
                     scores = _products(matrix[asked], matrix)
                     scores[own[asked][:, None] == own[None, :]] = np.iinfo(np.int64).min
+                    by_id = np.argsort(own, kind="stable")
+                    starts = np.flatnonzero(np.r_[True, np.diff(own[by_id]) != 0])
+                    scores = np.maximum.reduceat(scores[:, by_id], starts, axis=1)  # an id counts once, with its best score
                     floor = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(asked), np.iinfo(np.int64).min)
                     out.append({"kind": "query", "dim": dim, "part": f"{own[asked][0]}", "n": len(asked), "ids": own[asked].tobytes(), "matrix": matrix[asked].tobytes(), "low": floor.tobytes(), "high": b""})
             if out:
@@ -83,7 +86,11 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _best(query: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query, ties to the smaller id; a query's row of the same id counts once."""
+    """The k best of each query, ties to the smaller id; rows of the same id count once, with their best score."""
+    order = np.lexsort((-score, vec, query))
+    query, score, vec = query[order], score[order], vec[order]
+    new = np.r_[True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])] if len(query) else np.zeros(0, bool)
+    query, score, vec = query[new], score[new], vec[new]
     order = np.lexsort((vec, -score, query))
     query, score, vec = query[order], score[order], vec[order]
     first = np.r_[True, query[1:] != query[:-1]] if len(query) else np.zeros(0, bool)

@@ -182,6 +182,22 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(130)] + [(7, [9.0, 9.0, 9.0, 9.0 - i / 8]) for i in range(6)] + [(7, [-9.0] * 4)] * 3 + [(50, [3.0, 0.0, 0.0, 0.0])]
+    rows += [(i % 9, rng.normal(size=4).tolist()) for i in range(60)]
+    best: dict = {}
+    for q, v in rows:
+        for i, w in rows:
+            if q % 50 == 0 and i != q:
+                score = int(np.floor(256 * np.float32(v).astype(float)).astype(int) @ np.floor(256 * np.float32(w).astype(float)).astype(int))
+                best[q, i] = max(score, best.get((q, i), score))
+    want = [(q, n + 1, i, -s) for q in {q for q, _ in best} for n, (s, i) in enumerate(sorted((-s, i) for (p, i), s in best.items() if p == q)[:5])]
+    for parts, block in ((1, 256), (1, 4), (5, 16)):
+        vectors = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<FLOAT>").repartition(parts)
+        assert sorted(want) == sorted(map(tuple, topk.top_k(vectors, block=block).collect())), (parts, block)
+
+
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="sidebar"><p>Side words here</p></div>
 <div id="cookie-notice">We use cookies</div><article><header><h1>Title &amp; more</h1></header><p>First   <b>bold</b>&nbsp;part<p>Second &lt;x&gt;
 <ul><li>one<li>two</ul><div class="advert">Buy</div><form><label>Mail</label><input></form><script>var a = "<p>no</p>";</script>
