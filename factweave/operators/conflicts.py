@@ -14,7 +14,6 @@ GROUP = ["subject_id", "predicate", "property_name", "unit"]
 QUEUE_LIMIT = 500
 FACT_LIMIT = 8
 GAP_LIMIT = 12
-SCAN_LIMIT = 5000
 WIDE_DIMENSION = 8
 
 # Reason texts.
@@ -272,22 +271,27 @@ def research_space(claims: DataFrame, by: list[str]) -> DataFrame:
     return sizes.withColumn("wide", F.col("values") >= WIDE_DIMENSION)
 
 
-def gap_summary(claims: DataFrame, by: list[str], limit: int = GAP_LIMIT, scan: int = SCAN_LIMIT) -> DataFrame:
-    """Combinations of dimension values without a claim, per pool.
+def gap_summary(claims: DataFrame, by: list[str], limit: int = GAP_LIMIT) -> DataFrame:
+    """Combinations of dimension values without a claim, per pool: how many, and the first ``limit``.
 
-    The total is a product of counts. Combinations are made by position only: number ``i`` in mixed radix names one value
-    per dimension, so at most ``scan`` rows per pool exist and no product of the dimensions is built.
+    A combination's number is its values' ranks in mixed radix. Free numbers lie between neighbours among the sorted covered numbers,
+    so all combinations of a pool count and no product of the dimensions is built. Totals are exact up to 38 digits.
     """
     from pyspark.sql import Window
 
     c = F.col
+    whole = "decimal(38,0)"
     values = dimension_values(claims, by)
     sizes = values.groupBy(*by, "name").agg(F.count("*").alias("n"))
     names = sizes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("dims"))
-    size = F.transform("dims", lambda d: d["n"].cast("double"))
-    names = names.withColumn("total_d", F.aggregate(size, F.lit(1.0), lambda a, n: a * n)).withColumn(
-        "total", F.least(c("total_d"), F.lit(9e18)).cast("bigint")
+    product = lambda dims: F.aggregate(dims, F.lit(1).cast(whole), lambda a, d: (a * d["n"].cast(whole)).cast(whole))
+    names = names.withColumn("total", product(c("dims")))
+    stride = F.transform(F.sequence(F.lit(1), F.size("dims")), lambda i: product(F.slice(c("dims"), i + 1, F.size("dims"))))
+    steps = names.select(*by, F.explode(F.arrays_zip("dims", stride.alias("stride"))).alias("x")).select(
+        *by, c("x.dims.name").alias("name"), c("x.dims.n").cast(whole).alias("n"), c("x.stride").alias("stride")
     )
+    w = Window.partitionBy(*by, "name").orderBy("value")
+    ranked = values.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")).join(steps, by + ["name"])
     # Covered combinations: claims that carry every dimension of their pool.
     with_dims = claims.join(names.select(*by, "dims"), by)
     value_of = lambda d: (
@@ -296,44 +300,34 @@ def gap_summary(claims: DataFrame, by: list[str], limit: int = GAP_LIMIT, scan:
             F.when(d["name"] == "subject", c("subject_id")).when(d["name"] == "property", c("property_name")),
         )
     )
-    combos = with_dims.select(*by, F.transform("dims", lambda d: F.struct(d["name"], value_of(d).alias("value"))).alias("combo"))
-    combos = combos.filter(~F.exists("combo", lambda x: x["value"].isNull())).select(*by, _combo_text(c("combo")).alias("combo")).distinct()
-    covered = combos.groupBy(*by).agg(F.count("*").alias("covered"))
-    # Candidate numbers, then one value per dimension by rank.
-    stride = F.transform(
-        F.sequence(F.lit(1), F.size("dims")),
-        lambda i: F.aggregate(
-            F.slice(c("dims"), i + 1, F.size("dims")), F.lit(1.0), lambda a, d: a * d["n"].cast("double")
-        ),
-    )
-    numbered = names.select(*by, "dims", "total", stride.alias("stride")).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), F.least(c("total"), F.lit(scan)).cast("int") - 1))
-    )
-    places = numbered.select(
-        *by, "i", F.posexplode(F.arrays_zip("dims", "stride")).alias("d", "x")
-    ).select(
-        *by, "i", c("x.dims.name").alias("name"),
-        (F.floor(c("i") / c("x.stride")) % c("x.dims.n")).cast("int").alias("rank"),
-    )
-    # At most ``scan`` values per dimension can occur in the scanned combinations.
-    w = Window.partitionBy(*by, "name").orderBy("value")
-    ranked = values.withColumn("rank", F.row_number().over(w) - 1).filter(c("rank") < scan)
-    picked = places.join(ranked, by + ["name", "rank"]).groupBy(*by, "i").agg(
+    combos = with_dims.select(*by, F.transform("dims", lambda d: F.struct(d["name"].alias("name"), value_of(d).alias("value"))).alias("combo"))
+    combos = combos.filter(~F.exists("combo", lambda x: x["value"].isNull())).distinct()
+    placed = combos.select(*by, "combo", F.explode("combo").alias("x")).select(*by, "combo", "x.name", "x.value").join(ranked, by + ["name", "value"])
+    taken = placed.groupBy(*by, "combo").agg(F.sum((c("rank").cast(whole) * c("stride")).cast(whole)).cast(whole).alias("i")).drop("combo")
+    covered = taken.groupBy(*by).agg(F.count("*").alias("covered"))
+    # The end of a pool stands behind its numbers as one more; a hole begins behind the number before.
+    order = Window.partitionBy(*by).orderBy("i")
+    marks = taken.unionByName(names.select(*by, c("total").alias("i")))
+    one = F.lit(1).cast(whole)
+    holes = marks.withColumn("start", F.coalesce((F.lag("i").over(order) + one).cast(whole), F.lit(0).cast(whole))).filter(c("start") < c("i"))
+    holes = holes.withColumn("hole", F.row_number().over(order)).filter(c("hole") <= limit)
+    free = holes.withColumn("off", F.explode(F.sequence(F.lit(0), F.least(c("i") - c("start"), F.lit(limit).cast(whole)).cast("int") - 1)))
+    free = free.select(*by, (c("start") + c("off").cast(whole)).cast(whole).alias("i"))
+    shown = free.withColumn("pos", F.row_number().over(order)).filter(c("pos") <= limit)
+    rank = F.expr("(i % CAST(stride * n AS DECIMAL(38,0))) div stride")
+    picked = shown.join(steps, by).withColumn("rank", rank).join(ranked.select(*by, "name", "rank", "value"), by + ["name", "rank"]).groupBy(*by, "pos").agg(
         F.array_sort(F.collect_list(F.struct("name", "value"))).alias("combo")
-    ).select(*by, "i", _combo_text(c("combo")).alias("combo"))
-    free = picked.join(combos, by + ["combo"], "left_anti")
-    first = Window.partitionBy(*by).orderBy("i")
-    shown = free.withColumn("pos", F.row_number().over(first)).filter(c("pos") <= limit)
-    gaps = shown.groupBy(*by).agg(
+    ).select(*by, "pos", _combo_text(c("combo")).alias("combo"))
+    gaps = picked.groupBy(*by).agg(
         F.count("*").alias("shown"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "combo"))), lambda x: x["combo"]), " | ").alias("gaps"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "combo"))), lambda x: x["combo"]), " | ").alias("gaps"),
     )
     out = names.select(*by, "dims", "total").join(covered, by, "left").join(gaps, by, "left").fillna(0, ["covered", "shown"])
     return out.select(
         *by, F.array_join(F.transform("dims", lambda d: F.concat(d["name"], F.lit(":"), d["n"])), "×").alias("dimensions"),
         F.array_join(F.transform(F.filter("dims", lambda d: d["n"] >= WIDE_DIMENSION), lambda d: d["name"]), ", ").alias("wide"),
-        "total", "covered", "shown", F.greatest(c("total") - c("covered") - c("shown"), F.lit(0)).alias("omitted"),
-        ((c("shown") < limit) & (c("total") > scan)).alias("partial"), F.coalesce("gaps", F.lit("")).alias("gaps"),
+        "total", "covered", "shown", F.greatest(c("total") - c("covered") - c("shown"), F.lit(0)).cast(whole).alias("omitted"),
+        F.coalesce("gaps", F.lit("")).alias("gaps"),
     )
 
 

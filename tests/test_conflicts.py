@@ -90,3 +90,17 @@ def test_chain_of_ranges(spark, hot_rows):
         want[str(g)] = all(b[0] > a[1] for a, b in zip(ranges, ranges[1:]))
     df = spark.createDataFrame(rows, "g STRING, lo DOUBLE, hi DOUBLE")
     assert {r.g: r.disjoint for r in N.chain_disjoint(df, ["g"], hot_rows).collect()} == want
+
+
+def test_gaps_beyond_the_first_combinations(spark):
+    full = [(i, j) for i in range(60) for j in range(100)]
+    free = {(0, 3), (55, 7), (55, 8), (59, 99)}
+    rows = [("a", {"x": f"{i:02d}", "y": f"{j:02d}"}, "s", "p") for i, j in full if (i, j) not in free] + [("b", {"x": "1"}, "s", "p"), ("b", {"x": "2"}, "s", "p"), ("b", {"y": "3"}, "s", "p")]
+    rows += [("c", {f"d{k:02d}": v for k in range(20)}, "s", "p") for v in [f"{i:02d}" for i in range(10)]]
+    claims = spark.createDataFrame(rows, "pool STRING, scope MAP<STRING, STRING>, subject_id STRING, property_name STRING")
+    got = {r.pool: r for r in K.gap_summary(claims, ["pool"]).collect()}
+    assert (got["a"].total, got["a"].covered, got["a"].shown, got["a"].omitted) == (6000, 5996, 4, 0)
+    assert got["a"].gaps == " | ".join(f"x={i:02d}, y={j:02d}" for i, j in sorted(free))
+    assert (got["b"].total, got["b"].covered, got["b"].gaps) == (2, 0, "x=1, y=3 | x=2, y=3")
+    assert (got["c"].total, got["c"].covered, got["c"].shown, got["c"].omitted) == (10**20, 10, 12, 10**20 - 22)
+    assert got["c"].gaps.split(" | ")[0] == ", ".join(f"d{k:02d}={'01' if k == 19 else '00'}" for k in range(20))

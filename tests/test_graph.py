@@ -103,3 +103,22 @@ def test_packing_of_batches(spark):
         used += r.size + 1
         assert r.batch == batch
     assert {r.batch for r in H.pack_batches(groups, f, limit=4000, run_rows=5).collect()} != {0}
+
+
+def test_packing_is_the_same_in_pieces(spark):
+    rng = random.Random(7)
+    finding = "id STRING, statement STRING, data_class STRING, evidence ARRAY<STRUCT<document_id STRING, source_title STRING, page INT, sheet STRING, cell_range STRING, quote STRING>>"
+    rows = [(f"f{i:03d}", "s" * rng.randint(10, 900), "public", [("d", "t", 1, None, None, "q" * rng.choice([1, 100, 3000]))] * rng.randint(1, 9)) for i in range(150)]
+    f = spark.createDataFrame(rows, finding)
+    groups = f.select("id", F.when(F.col("id") < "f120", "r").otherwise("q").alias("root"), "data_class")
+    for limit in (300, 4000, 40_000):
+        want = {(r.root, r.id, r.part, r.batch) for r in H.pack_batches(groups, f, limit=limit).collect()}
+        state, plain = {}, set()
+        for r in sorted(H.pack_batches(groups, f, limit=limit, run_rows=7).collect(), key=lambda r: (r.root, r.id, r.part)):
+            batch, used = state.get(r.root, (0, 2))
+            if used > 2 and used + r.size > limit:
+                batch, used = batch + 1, 2
+            state[r.root] = batch, used + r.size + 1
+            plain.add((r.root, r.id, r.part, batch))
+            assert (r.batch, r.run) == (batch, 0)
+        assert plain == want
