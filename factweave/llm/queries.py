@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.testdata import table
-from . import bpe, chat, exact_dedup, html_text, jaccard, lm, mixing, topk, toxicity, warc
+from . import bpe, chat, exact_dedup, html_text, jaccard, lm, mixing, periodic, prefix_trie, quality, topk, toxicity, warc
 from .common import materialise, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,73 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on labels outside the held-out quarter."""
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 4) != 2)
+    return quality.fit(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: Most turns a rebuilt conversation takes from its base, and conversations that share one.
+HEADS, SHARED = 8, 5
+
+
+@query("op12_prefix_trie", """
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+named AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS name FROM t),
+c AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base,
+           xor(list_reduce([4294967295] || list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT)),
+               lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 9 AS h
+    FROM named),
+r AS (
+    SELECT c.conv_id, 0 AS half, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+s AS (
+    SELECT c.conv_id, coalesce(list(md5(md5(role) || text) ORDER BY half, pos) FILTER (half IS NOT NULL), []) AS s,
+           coalesce(list(octet_length(encode(text)) ORDER BY half, pos) FILTER (half IS NOT NULL), []) AS sizes
+    FROM c LEFT JOIN r ON c.conv_id = r.conv_id GROUP BY c.conv_id),
+p AS (
+    SELECT conv_id, d AS depth, len(s) AS n, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS bytes, min(conv_id) OVER (PARTITION BY d, s[1:d]) AS node
+    FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM s)),
+nodes AS (
+    SELECT node, depth, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = n), '') AS ends
+    FROM p GROUP BY node, depth),
+linked AS (
+    SELECT n.*, q.node AS parent FROM nodes n LEFT JOIN p q ON q.conv_id = n.node AND q.depth = n.depth - 1),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY parent, depth),
+whole AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids k ON l.node = k.node AND l.depth = k.depth),
+sums AS (
+    SELECT q.node, q.depth, sum((w.n_convs - 1) * w.bytes) AS saved, count(*) FILTER (w.n_children = 0) AS n_leaves
+    FROM whole w JOIN p q ON q.conv_id = w.node AND q.depth <= w.depth GROUP BY q.node, q.depth)
+SELECT w.node AS conv_id, w.depth, w.parent AS parent_conv_id, w.n_convs, w.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM whole w JOIN sums s ON w.node = s.node AND w.depth = s.depth
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % (HEADS + 1)
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns, F.col("conv_id") - F.col("conv_id") % SHARED, heads, HEADS))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), tail=periodic.tail_seed)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    # runs stand by start, then period; of the longest the first has the smallest start and period
+    longest = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r["length"] > best["length"], r).otherwise(best))
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
