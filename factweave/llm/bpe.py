@@ -2,8 +2,9 @@
 
 A long text is cut into chunks that overlap. Each chunk is pre-tokenised from its own start; where two neighbours have a pre-token
 boundary in common inside their overlap, they agree from there on, so the text is cut at the first such boundary and every chunk
-encodes the pieces between its cuts. A text without a common boundary somewhere is pre-tokenised from its start instead. Short texts
-are one chunk. Decoding concatenates the bytes of the ids.
+encodes the pieces between its cuts. A text without a common boundary in some overlap (a pre-token longer than that) is pre-tokenised
+from its start in one task, whose work is bounded by the text of one row. Short texts are one chunk. Decoding concatenates the bytes of
+the ids, gathered from one table of all tokens' bytes.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .common import materialise
 CHUNK, OVERLAP = 65_536, 2_048
 #: A match may depend on so many characters behind its end (the longest contraction of the pattern).
 AHEAD = 4
-#: Pieces a worker remembers before it starts anew.
-REMEMBERED = 250_000
+#: Pieces a worker remembers, and bytes of a piece up to which its pairs are scanned for the next merge.
+REMEMBERED, SCANNED = 400_000, 128
+#: Ids decoded at a time.
+GATHERED = 1 << 20
 #: White space as the pattern means it (Unicode White_Space).
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
 
@@ -37,48 +40,80 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(r[0].split()[0]): int(r[0].split()[1]) for r in spark.read.text(url).collect() if r[0].strip()}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the pair of lowest rank merges first, the leftmost of equals, until no pair has a rank."""
-    if piece in ranks:
-        return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) <= 48:
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
-            if best == 1 << 30:
+class Merges:
+    """Byte pair merging by ids: which pairs of tokens join to a token, and single bytes' ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.shift = max(ranks.values(), default=0).bit_length()
+        #: (left id, right id) as one number to the id of both together, which is its rank
+        self.pairs = {left << self.shift | right: rank for both, rank in ranks.items() for i in range(1, len(both)) if (left := ranks.get(both[:i])) is not None and (right := ranks.get(both[i:])) is not None}
+        self.byte = [ranks.get(bytes([i])) for i in range(256)]
+
+    def __call__(self, piece: bytes) -> list[int]:
+        """Ids of one piece: the pair of lowest rank merges first, the leftmost of equals, until no pair has a rank."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        parts = [self.byte[b] for b in piece]
+        return self._scanned(parts) if len(parts) <= SCANNED else self._queued(parts)
+
+    def _scanned(self, parts: list[int]) -> list[int]:
+        """Looks for the lowest rank among all pairs at each step; for short pieces."""
+        get, shift, none = self.pairs.get, self.shift, 1 << 62
+        ranked = [get(a << shift | b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranked:
+            best = min(ranked)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
-    after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
-    heap = [(ranks[a + b], i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]
-    heapq.heapify(heap)
-    while heap:
-        _, i, pair = heapq.heappop(heap)
-        j = after[i] if parts[i] else -1
-        if j < 0 or parts[i] + parts[j] != pair:
-            continue
-        parts[i], parts[j], after[i] = pair, b"", after[j]
-        if after[i] >= 0:
-            before[after[i]] = i
-        for left, right in ((before[i], i), (i, after[i])):
-            if left >= 0 and right >= 0 and (both := parts[left] + parts[right]) in ranks:
-                heapq.heappush(heap, (ranks[both], left, both))
-    return [ranks[p] for p in parts if p]
+            at = ranked.index(best)
+            parts[at : at + 2] = (best,)
+            del ranked[at]
+            if at:
+                ranked[at - 1] = get(parts[at - 1] << shift | best, none)
+            if at < len(ranked):
+                ranked[at] = get(best << shift | parts[at + 1], none)
+        return parts
+
+    def _queued(self, parts: list[int]) -> list[int]:
+        """Keeps the pairs in a heap; for long pieces."""
+        get, shift = self.pairs.get, self.shift
+        after, before = [*range(1, len(parts)), -1], [-1, *range(len(parts) - 1)]
+        heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (rank := get(a << shift | b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or parts[i] != a or parts[j] != b:
+                continue
+            parts[i], parts[j], after[i] = rank, -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right >= 0 and (both := get(parts[left] << shift | parts[right])) is not None:
+                    heapq.heappush(heap, (both, left, parts[left], parts[right]))
+        return [p for p in parts if p >= 0]
 
 
 class _Ids(dict):
-    """Piece to its ids as little-endian 32-bit integers."""
+    """Piece to its ids as little-endian 32-bit integers.
+
+    Holds at most two generations of ``REMEMBERED`` / 2 pieces; when the newer is full the older goes, so pieces in use stay.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.merges, self.older = Merges(ranks), {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.asarray(self.merges(piece.encode()), dtype="<u4").tobytes()
+            if len(piece) > 64:
+                return ids
+        if len(self) >= REMEMBERED // 2:
+            self.older = dict(self)
             self.clear()
-        ids = np.asarray(merge(piece.encode(), self.ranks), dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
+        self[piece] = ids
         return ids
 
 
@@ -194,13 +229,24 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
     """Adds ``bytes``: the concatenated bytes of the ids; null ids give null."""
-    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)  # a vocabulary: of fixed size
+    sizes = np.array([len(t) for t in table], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    shared = encoded.sparkSession.sparkContext.broadcast((sizes, begins, np.frombuffer(b"".join(table), dtype=np.uint8)))  # a vocabulary: of fixed size
 
     @F.udf("binary", useArrow=True)
     def text_of(ids: bytes):
-        return None if ids is None else b"".join(map(shared.value.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        if ids is None:
+            return None
+        sizes, begins, flat = shared.value
+        out = []
+        for first in range(0, len(ids), 4 * GATHERED):
+            part = np.frombuffer(ids, dtype="<u4", count=min(GATHERED, (len(ids) - first) // 4), offset=first)
+            size = sizes[part]
+            ends = np.cumsum(size)
+            out.append(flat[np.repeat(begins[part] - ends + size, size) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
     return encoded.withColumn("bytes", text_of(F.col(ids_col)))
