@@ -285,41 +285,6 @@ def components(ids: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, community): weighted label propagation, deterministic.
-
-    A node takes the label with the largest summed weight among its neighbours and itself (weight one), the smallest label
-    on ties. The halves of a hash of the id take turns, so that two sides cannot swap labels for ever. Without edges all
-    nodes share one fallback community. Weights add up as millionths, which does not depend on their order. Labels that still
-    move after ``rounds`` are an error, not a result.
-    """
-    c = F.col
-    ids = nodes.select("id").distinct()
-    weight = F.round(c("confidence") * 1_000_000).cast("bigint")
-    both = edges.filter(c("source") != c("target")).select(F.explode(F.array(
-        F.struct(c("source").alias("id"), c("target").alias("other")), F.struct(c("target").alias("id"), c("source").alias("other"))
-    )).alias("w"), weight.alias("weight")).select("w.id", "w.other", "weight")
-    # Parallel edges are one edge; of their weights the last by edge would count, here the largest.
-    ways = both.groupBy("id", "other").agg(F.max("weight").alias("weight"))
-    ways = checkpoint(ways.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "other"), "other", "left_semi"))
-    if not ways.limit(1).count():
-        return ids.withColumn("community", F.lit(FALLBACK_COMMUNITY))
-    half = F.pmod(F.xxhash64("id"), F.lit(2))
-    state = checkpoint(ids.select("id", c("id").alias("community")))
-    still = 0
-    for turn in range(2 * rounds):
-        votes = ways.join(state.select(c("id").alias("other"), "community"), "other").select("id", "community", "weight")
-        own = state.select("id", "community", F.lit(1_000_000).cast("bigint").alias("weight"))
-        sums = votes.unionByName(own).filter(half == turn % 2).groupBy("id", "community").agg(F.sum("weight").alias("w"))
-        best = sums.groupBy("id").agg(F.min(F.struct((-c("w")).alias("k"), "community"))["community"].alias("new"))
-        moved = checkpoint(state.join(best, "id", "left").select("id", F.coalesce("new", "community").alias("community"), (c("new") != c("community")).alias("_moved")))
-        still = 0 if moved.filter("_moved").limit(1).count() else still + 1
-        state = moved.select("id", "community")
-        if still == 2:
-            return state
-    raise RuntimeError(f"labels still move after {rounds} rounds; ask for more")
-
-
 def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Modularity of a partition, edge weight = confidence, parallel edges counted once by their largest weight."""
     c = F.col

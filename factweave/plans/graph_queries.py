@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..operators import conflicts as K
 from ..operators import graph as G
+from ..operators import modularity as M
 from ..operators import hypotheses as H
 from ..sources import testdata as T
 from .oracle import cte, pair_id, uuid5
@@ -193,8 +194,14 @@ def components(spark, sf):
 
 @query("communities")
 def communities(spark, sf):
-    """No SQL: iterative. Tested on two cliques and against a plain loop."""
-    return G.communities(T.nodes(spark, sf), T.edges(spark, sf))
+    """No SQL: iterative. ``community_checks`` states what must hold of it."""
+    return M.communities(T.nodes(spark, sf), T.edges(spark, sf))
+
+
+@query("community_checks", "SELECT count(*) AS nodes, 0::BIGINT AS misplaced, 0::BIGINT AS gaining_moves, 0::BIGINT AS split_communities FROM t_node")
+def community_checks(spark, sf):
+    nodes, edges = T.nodes(spark, sf), T.edges(spark, sf)
+    return M.checks(M.communities(nodes, edges), nodes, edges)
 
 
 @query("label_communities", """

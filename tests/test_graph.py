@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import catalog as C
 from factweave.operators import graph as G
+from factweave.operators import modularity as M
 from factweave.operators import hypotheses as H
 
 NODES = "id STRING, label STRING, type STRING, confidence DOUBLE, data_class STRING, metadata MAP<STRING,STRING>"
@@ -41,16 +42,48 @@ def test_two_cliques_with_a_bridge(spark):
     a, b = [f"a{i:02d}" for i in range(15)], [f"b{i:02d}" for i in range(15)]
     pairs = [(x, y) for side in (a, b) for i, x in enumerate(side) for y in side[i + 1:]] + [("a14", "b00")]
     nodes, edges = graph(spark, a + b, pairs)
-    first = {r.id: r.community for r in G.communities(nodes, edges).collect()}
+    first = {r.id: r.community for r in M.communities(nodes, edges).collect()}
     assert len({first[x] for x in a}) == 1 and len({first[x] for x in b}) == 1 and first["a00"] != first["b01"]
-    assert first == {r.id: r.community for r in G.communities(nodes, edges).collect()}
+    assert first == {r.id: r.community for r in M.communities(nodes, edges).collect()}
     members = spark.createDataFrame(list(first.items()), "id STRING, community STRING")
     assert G.modularity(members, edges).first().modularity > 0.45
 
 
+def test_no_single_move_gains(spark):
+    rng = random.Random(8)
+    ids = [f"n{i:02d}" for i in range(40)] + ["alone"]
+    pairs = [(a, b) for i, a in enumerate(ids[:40]) for b in ids[i + 1 : 40] if rng.random() < (0.5 if a[1] == b[1] else 0.04)] + [("n00", "n00"), ("n00", "gone"), ("n01", "n00")]
+    nodes, edges = graph(spark, ids, pairs)
+    of = {r.id: r.community for r in M.communities(nodes, edges).collect()}
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        if a != b and b in near:
+            near[a].add(b)
+            near[b].add(a)
+    m = sum(map(len, near.values()))
+
+    def quality(of):
+        inner = sum(of[a] == of[b] for a in ids for b in near[a])
+        total = {}
+        for i in ids:
+            total[of[i]] = total.get(of[i], 0) + len(near[i])
+        return m * inner - sum(t * t for t in total.values())
+
+    assert sorted(of) == sorted(ids) and of["alone"] == "alone" and all(min(i for i in ids if of[i] == k) == k for k in set(of.values()))
+    assert all(quality({**of, i: k}) <= quality(of) for i in ids for k in {*of.values(), "new"})
+    assert quality(of) >= quality({i: i[1] for i in ids})
+    for k in set(of.values()):
+        seen, todo = {k}, [k]
+        while todo:
+            new = {b for b in near[todo.pop()] if of[b] == k} - seen
+            seen |= new
+            todo += new
+        assert seen == {i for i in ids if of[i] == k}
+
+
 def test_no_edges_is_one_community(spark):
     nodes, edges = graph(spark, ["x", "y", "z"], [("x", "y")])
-    assert {r.community for r in G.communities(nodes, edges.limit(0)).collect()} == {G.FALLBACK_COMMUNITY}
+    assert {r.community for r in M.communities(nodes, edges.limit(0)).collect()} == {G.FALLBACK_COMMUNITY}
 
 
 def test_names_are_given_one_by_one(spark):
