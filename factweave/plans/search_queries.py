@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators import vector_index as V
+from ..operators.lineage import shared_folder
 from ..sources import testdata as T
 from .catalog_queries import candidates
 from .number_queries import _scaled, scaled
@@ -91,6 +95,35 @@ def vector_leg(spark, sf):
     return S.vector_leg(label_vectors(spark, sf), T.vectors(spark, sf), 18, {"public", "internal"}, 64).withColumn("score", scaled("score"))
 
 
+def vector_index(spark, sf):
+    """An index of the vectors in the shared folder, questions from every tenth vector, and the cells to probe for nine in ten."""
+    index = V.build(T.vectors(spark, sf), f"{shared_folder(spark).rstrip('/')}/vectors-{uuid.uuid4().hex}", 64)
+    asked = T.table(spark, sf, "embeddings").filter("vec_id % 10 = 0").select(F.concat(F.lit("q-"), "vec_id").alias("query_id"), "embedding")
+    return index, asked, V.probes_for(index, asked, 18, 0.95, {"public", "internal"})
+
+
+@query("vector_index")
+def vector_index_search(spark, sf):
+    """No SQL: approximate. ``vector_index_recall`` states what must hold of it."""
+    index, asked, probes = vector_index(spark, sf)
+    return V.search(index, asked, 18, probes, {"public", "internal"}).withColumn("score", scaled("score"))
+
+
+@query("vector_index_recall", """
+WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 10 = 0), n AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 3 < 2)
+SELECT (SELECT count(*) FROM q) AS questions, (SELECT count(*) FROM q)*least(18, n.n) AS places, TRUE AS recalled, TRUE AS truthful FROM n""")
+def vector_index_recall(spark, sf):
+    """Questions, places of the exact answer, whether nine in ten are found, and whether all found scores are those of exact search."""
+    index, asked, probes = vector_index(spark, sf)
+    exact = S.vector_leg(asked, index.rows, 18, {"public", "internal"}, 64).select("query_id", "id", "score")
+    found = V.search(index, asked, 18, probes, {"public", "internal"}).select("query_id", "id", F.col("score").alias("found"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("questions"), F.count("*").alias("places"), (F.count("found") >= 0.9 * F.count("*")).alias("recalled"),
+        F.coalesce(F.bool_and(F.abs(F.col("found") - F.col("score")) < 1e-9), F.lit(True)).alias("truthful"),
+    )
+
+
 _PUNCT = ".,;:!?()[]{}«»\"''"
 cte("t_tok", f"""
 SELECT DISTINCT query_id, trim(lower(w), '{_PUNCT}') AS token FROM (SELECT query_id, unnest(regexp_split_to_array(trim(regexp_replace(text,'\\s+',' ','g')), ' ')) AS w FROM t_q)
