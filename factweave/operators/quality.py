@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import measures as M
 from ..functions import text as X
 from ..functions import units as U
+from . import ranks
 from .catalog import case_diff, one_row
 
 # Floors and limits of the gates.
@@ -33,21 +34,19 @@ def nearest_rank(sorted_values: Column, share: float) -> Column:
 def latency_report(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Average and 95th percentile by nearest rank; below five samples the largest value stands in and is named so.
 
-    The rank of the percentile is known from the count, so the value comes from one sorted position per group: only rows
-    of the top twentieth are ranked.
+    The rank of the percentile is known from the count, and the row of that rank from the distributed numbering of the group's values,
+    so the result is exact and one group may hold all rows.
     """
     c = F.col
     sizes = df.groupBy(*by).agg(F.count(value).alias("samples"), F.avg(value).alias("average"), F.max(value).alias("top"))
-    position = F.least(F.rint((c("samples") - 1) * 0.95), c("samples") - 1) + 1
-    floor = df.groupBy(*by).agg(F.percentile_approx(value, 0.9, 10_000).alias("_floor"))
-    rest = df.join(floor, by)
-    below = rest.groupBy(*by).agg(F.count_if(c(value) < c("_floor")).alias("below"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upper = rest.filter(c(value) >= c("_floor")).select(*by, value).withColumn("_n", F.row_number().over(w))
-    joined = sizes.join(below, by).withColumn("_at", position - c("below"))
-    hit = joined.join(upper, by).filter(c("_n") == c("_at")).select(*by, c(value).alias("_p95"))
+    numbered = ranks.row_numbers(df.filter(c(value).isNotNull()).select(*by, value), by, [c(value)], "_n", "_size")
+    position = F.least(F.rint((c("_size") - 1) * 0.95), c("_size") - 1) + 1
+    hit = numbered.filter(c("_n") == position).select(*[c(k).alias(f"_{k}") for k in by], c(value).alias("_p95"))
+    same = F.lit(True)
+    for k in by:
+        same &= c(k).eqNullSafe(c(f"_{k}"))
     enough = c("samples") >= MIN_P95_SAMPLE
-    return sizes.join(hit, by, "left").select(
+    return sizes.join(hit, same, "left").select(
         *by, "samples", F.round("average", 1).alias("average"), F.round(F.when(enough, F.coalesce("_p95", "top")).otherwise(c("top")), 1).alias("p95"),
         enough.alias("is_percentile"),
     )

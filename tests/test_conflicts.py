@@ -104,3 +104,32 @@ def test_gaps_beyond_the_first_combinations(spark):
     assert (got["b"].total, got["b"].covered, got["b"].gaps) == (2, 0, "x=1, y=3 | x=2, y=3")
     assert (got["c"].total, got["c"].covered, got["c"].shown, got["c"].omitted) == (10**20, 10, 12, 10**20 - 22)
     assert got["c"].gaps.split(" | ")[0] == ", ".join(f"d{k:02d}={'01' if k == 19 else '00'}" for k in range(20))
+
+
+def test_counted_conflicts_are_the_pairs(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(160):
+        scope = {k: v for k, v in (("year", rng.choice("12")), ("geography", rng.choice("AB"))) if rng.random() < 0.6}
+        lo = rng.randint(0, 12)
+        rows.append(claim(f"c{i:03d}", lo, lo + rng.randint(0, 6), scope, subject="s" if rng.random() < 0.7 else f"t{i % 4}", prop=rng.choice("pq")))
+    claims = spark.createDataFrame(rows, CLAIMS).withColumn("pool", F.when(F.col("subject_id") == "t1", "b").otherwise("a"))
+    all_pairs = K.detect_conflicts(claims, by=["pool"])
+    counted = {tuple(r) for r in K.conflict_counts(claims, ["pool"]).select("pool", "subject_id", "property_name", "conflicts").collect()}
+    assert counted == {tuple(r) for r in all_pairs.groupBy("pool", "subject_id", "property_name").count().collect()}
+    for limit in (1, 8, 40):
+        facts = K.conflict_facts(claims, "pool", limit).collect()
+        for pool in ("a", "b"):
+            want = sorted((r.subject_id, r.property_name, r.left_claim_id, r.right_claim_id, r.pair_id, r.reason) for r in all_pairs.filter(F.col("pool") == pool).collect())
+            got = [r for r in facts if r.pool == pool]
+            assert [(r.subject_id, r.property_name, r.left_claim_id, r.right_claim_id, r.pair_id, r.reason) for r in sorted(got, key=lambda r: r.pos)] == want[:limit]
+            assert {(r.conflicts, r.omitted) for r in got} == {(len(want), max(0, len(want) - limit))}
+    assert K.conflict_facts(claims.limit(0), "pool").count() == 0
+
+
+def test_pairs_below_counts_ties_and_nulls(spark):
+    from factweave.operators import dominance as D
+
+    ends = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), (None, 1.0), ("b", None)], "k STRING, value DOUBLE")
+    begins = spark.createDataFrame([("a", 2.0), ("a", 3.0), (None, 5.0), ("b", 9.0), ("c", 1.0)], "k STRING, value DOUBLE")
+    assert {tuple(r) for r in D.pairs_below(ends, begins, ["k"]).collect()} == {("a", 1 + 3), (None, 1)}

@@ -1,5 +1,7 @@
 """Gates and small samples."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factweave.operators import quality as Q
@@ -36,3 +38,26 @@ def test_answer_without_findings_fails(spark):
 def test_acceptance_without_measure(spark):
     df = spark.range(1).select(*[F.lit(None).cast("double").alias(n) for n in ("recall_at_10", "p95_seconds", "hybrid_mrr", "lexical_mrr")], F.lit(True).alias("require_hybrid"))
     assert Q.acceptance(df).first().accepted is False
+
+
+def test_exact_percentile_of_one_large_group(spark):
+    from factweave.operators import quality as Q
+
+    rng = random.Random(5)
+    rows = [("hot", float(rng.choice((1, 2, rng.randint(0, 500))))) for _ in range(4000)] + [("few", 3.0), ("few", 9.0), (None, 4.0), ("hot", None)] + [("five", float(i)) for i in range(5)]
+    got = {r.g: r for r in Q.latency_report(spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(7), ["g"], "v").collect()}
+    for g in ("hot", "five"):
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g].p95 == values[min(round((len(values) - 1) * 0.95), len(values) - 1)] and got[g].is_percentile and got[g].samples == len(values)
+    assert got["few"].p95 == 9.0 and not got["few"].is_percentile and got[None].p95 == 4.0
+
+
+def test_row_numbers(spark):
+    from factweave.operators import ranks
+
+    rows = [(None if i % 7 == 0 else i % 3, i % 5) for i in range(300)] + [(1, 2)] * 200
+    got = ranks.row_numbers(spark.createDataFrame(rows, "g INT, v INT"), ["g"], [F.desc("v")]).collect()
+    for g in {r[0] for r in rows}:
+        mine = sorted((r.number, r.v, r.size) for r in got if r.g == g)
+        want = sorted((v for k, v in rows if k == g), reverse=True)
+        assert mine == [(i + 1, v, len(want)) for i, v in enumerate(want)]
