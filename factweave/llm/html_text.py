@@ -36,12 +36,19 @@ _CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
     "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}),
 }
-#: A container is marked as no part of the article if a whole name in its class, id or role is made of these words only.
+#: A container is marked as no part of the article if a whole name in its class, id or role has one of these words and no words
+#: besides these and neutral ones.
 _MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments disqus replies respond sidebar "
     "widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe "
     "signup popup modal overlay share sharing social related recommended search complementary contentinfo dialog".split()
 )
+#: Words that say where or how something stands, not what it is.
+_NEUTRAL = frozenset(
+    "list lists section sections container wrapper wrap box boxes block blocks inner outer left right top bottom main primary secondary post posts "
+    "item items area areas user users reader readers site page global button buttons bar slot unit panel row col column link links icons thread "
+    "first last mobile desktop sticky fixed".split()
+)
 _ONLY_OUTSIDE = frozenset({"header", "masthead"})
 _COMMENT = frozenset({"comment", "comments", "disqus", "replies", "respond"})
 _CONTAINERS = frozenset("div section ul ol dl table tbody tr td center".split())
@@ -83,8 +90,8 @@ def _is_marked(name: str, attributes: str, inside: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attributes):
         if key.lower() in ("class", "id", "role"):
             for whole in next((v for v in values if v), "").split():
-                pieces = _TOKEN.findall(whole)
-                if pieces and all(x.lower() in words for x in pieces):
+                pieces = {x.lower() for x in _TOKEN.findall(whole)}
+                if pieces & words and pieces <= words | _NEUTRAL:
                     return True
     return False
 
