@@ -72,20 +72,26 @@ filled AS (
     FROM weighed WINDOW f AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 final AS (SELECT arg_min(level, CAST(3 * source_size AS DOUBLE) / weight) AS level FROM filled WHERE CAST(3 * source_size AS DOUBLE) / weight > level),
 targets AS (
-    SELECT source, source_size, coalesce(least(weight * final.level, CAST(3 * source_size AS DOUBLE)), 0.0) AS target FROM filled LEFT JOIN final ON true),
+    SELECT source, source_size, coalesce(least(weight * final.level, CAST(3 * source_size AS DOUBLE)), 0.0) AS target,
+           [1.5, 1.0, 0.5][(rank - 1) % 3 + 1]::DOUBLE AS first, [0.5, 1.0, 1.5][(rank - 1) % 3 + 1]::DOUBLE AS last FROM filled LEFT JOIN final ON true),
 runs AS (
-    SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS demand,
+    SELECT s.doc_id, s.size, t.source_size, t.target, first, last, CAST(round(t.target) AS BIGINT) AS demand,
            coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
-    FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (demand // source_size) * size
-            + greatest(0, least(size, demand - (demand // source_size) * source_size - begun)) END AS BIGINT) AS taken
-FROM runs
+    FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+done AS (
+    SELECT *, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (demand // source_size) * size
+            + greatest(0, least(size, demand - (demand // source_size) * source_size - begun)) END AS BIGINT) AS taken,
+           least(1.0::DOUBLE, CAST(begun AS DOUBLE) / greatest(target, 1.0::DOUBLE)) AS share
+    FROM runs)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken > 0 THEN share * (first + last) / (first + sqrt(first * first + (last * last - first * first) * share)) END AS position
+FROM done
 """)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.positions(mixing.curriculum(table(spark, sf_dir, "documents"), keep=("doc_id",)))
+    first = placed.withColumn("position", F.get("positions", F.lit(0)))
     # the id spreads documents without a position over tasks too
-    return placed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "row.doc_id").select("row.doc_id", "size", "source_size", "target", "taken")
+    return first.orderBy(F.col("position").asc_nulls_last(), "row.doc_id").select("row.doc_id", "size", "source_size", "target", "taken", "position")
 
 
 @query("op10_topk", """
