@@ -257,6 +257,18 @@ def test_html_text_marked_names():
     assert html_text.main_text(f'<body><div class="ad">{line}</div><article><h1>Small</h1><p>Text</p></article></body>') == "Small\nText"
 
 
+@pytest.mark.parametrize("name", ["comment-list", "comments-section", "user-comments", "commentList", "ad-container", "adBox", "share-buttons", "sidebar-left", "related-posts", "site-footer", "main-menu", "newsletter-box"])
+def test_html_text_composite_names(name):
+    line = "word and more text in a long line of prose here. " * 8
+    prose = "".join(f"<p>{w} {line}</p>" for w in ("First", "Second", "Third"))
+    other = f"<div class='{name}'><p>Somebody else says {line}</p></div>"
+    beside = f"<body><main>{prose}</main>{other}</body>"
+    for page in (beside, f"<body><article>{prose}{other}</article></body>", f"<body><div>{prose}<section id='{name}'>{other}</section></div></body>"):
+        assert [x.split()[0] for x in html_text.main_text(page).split("\n")] == ["First", "Second", "Third"], page
+    for kept in ("content-main", "post", "post-list", "article-box", "notice-board-story"):
+        assert html_text.main_text(f"<body><div class='{kept}'>{prose}</div></body>").startswith("First")
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, None, "late"), (None, 0, "ann", "x"), (2, 0, "system", "s")]
     turns = spark.createDataFrame(rows + [(3, 7, "ann", f"m{i}") for i in range(1500)] + [(3, 8, "bob", "end")], "conv_id LONG, turn LONG, role STRING, text STRING").withColumn("part", F.lit("q"))
@@ -281,6 +293,32 @@ def test_fixity_audit(spark):
     assert warc.audit(left, left).count() == 0 and warc.audit(left.limit(0), left.limit(0)).count() == 0
 
 
+def test_fixity_audit_of_odd_records(spark):
+    """Null digests and offsets and records that repeat an offset, as multisets."""
+    schema = "file STRING, offset LONG, digest STRING"
+    left = [("a", 20, None), ("a", None, "q"), ("a", 30, "d1"), ("a", 30, "d2"), ("a", 40, "same"), ("a", 40, "same"), ("a", 50, None), ("a", 60, "x"), ("b", None, None), ("b", None, "r"), ("b", None, "r"), ("c", 1, "k")]
+    right = [("a", 30, "d1"), ("a", 30, "d2"), ("a", 40, "same"), ("a", 50, ""), ("a", 60, "y"), ("a", 60, "z"), ("b", None, "r"), ("b", None, ""), ("b", None, "new"), ("c", 1, "k")]
+    got = warc.audit(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+        ("a", 20, "", None, "missing"), ("a", None, "q", None, "missing"), ("a", 40, "same", None, "missing"), ("a", 60, "x", "y", "changed"),
+        ("a", 60, None, "z", "extra"), ("b", None, "r", None, "missing"), ("b", None, None, "new", "extra"),
+    ]))
+
+
+def test_positions_follow_the_schedule(spark):
+    """Positions rise with the tokens before a document, and a source's share of the early run follows its falling or rising weight."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 9), "abc"[i % 3]) for i in range(900)]
+    placed = mixing.positions(mixing.curriculum(spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING"))).collect()
+    early = {}
+    for s in "abc":
+        mine = sorted((r for r in placed if r.row.source == s), key=lambda r: r.begun)
+        firsts = [r.positions[0] for r in mine if r.positions]
+        assert firsts == sorted(firsts) and all(0 <= p <= 1 for r in mine for p in r.positions) and all(r.positions == sorted(r.positions) for r in mine)
+        early[s] = sum(r.size for r in mine for p in r.positions if p < 0.5) / sum(r.size for r in mine for _ in r.positions)
+    assert early["a"] == pytest.approx(0.625, abs=0.03) and early["b"] == pytest.approx(0.5, abs=0.03) and early["c"] == pytest.approx(0.375, abs=0.03)
+
+
 def test_parities_never_rule_out_similar_sets():
     draw = np.random.default_rng(3)
     for size in (1, 4, 40, 146, 900, 5_000):
