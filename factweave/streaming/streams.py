@@ -1,6 +1,6 @@
 """Structured Streaming forms of intake, upsert, call metrics, throttling and sessions.
 
-The batch operators are reused inside ``foreachBatch``; a batch that is replayed after a failure gives the same table.
+Tables grow by appended batches; a batch that is replayed after a failure gives the same table.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import catalog
 from ..operators.logs import CALL_BUCKETS
 
 
@@ -97,74 +96,91 @@ def throttle_stream(events: DataFrame, n: int = 10, window: int = 900) -> DataFr
 # --- tables ------------------------------------------------------------------------------------------------------------
 
 
-class ParquetTable:
-    """Table kept as numbered snapshots below a shared folder; the newest complete one is current.
+class BatchLog:
+    """Rows of a stream, appended batch by batch; nothing written is read or written again.
 
-    A snapshot is named by the batch that wrote it, so a replayed batch starts from the snapshot before it and writes the
-    same rows again.
+    What a batch wrote stands in a partition of its own, so a batch that is replayed after a failure replaces its own rows, and a batch
+    is rolled back by leaving it out when reading. What a row means across batches is decided by the reader.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path}/batch_id=-1")  # so that there is a table to read
 
-    def _snapshots(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                done.append(int(name.split("=")[1]))
-        return sorted(done)
+    def append(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        done = [b for b in self._snapshots() if before is None or b < before]
-        if not done:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={done[-1]}")
+    def read(self, without: tuple[int, ...] = ()) -> DataFrame:
+        """All rows with their ``batch_id``, but for those of batches that were rolled back."""
+        rows = self.spark.read.schema(f"{self.schema}, batch_id BIGINT").parquet(self.path)
+        return rows.filter(~F.col("batch_id").isin(*without)) if without else rows
 
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+FIRST_SEEN = "sha STRING, first_id BIGINT, copies BIGINT"
 
-def intake_batch(table: ParquetTable, order: str) -> Callable[[DataFrame, int], None]:
-    """Exactly one row per content hash, over batches too; the other copies are counted on the first row."""
+
+def intake_batch(log: BatchLog, order: str) -> Callable[[DataFrame, int], None]:
+    """Appends one row per content hash of the batch: the first id by ``order`` and the number of copies. Null texts count as empty."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        held = table.read(before=batch_id)
-        keyed = batch.withColumn("sha", F.sha2("text", 256))
-        first = keyed.groupBy("sha").agg(F.min(order).alias("first_id"), (F.count("*") - 1).alias("duplicates"))
-        known = held.select("sha", F.col("first_id").alias("_id"), F.col("duplicates").alias("_n"))
-        merged = known.join(first, "sha", "full_outer").select(
-            "sha", F.coalesce("_id", "first_id").alias("first_id"),
-            (F.coalesce("_n", F.lit(0)) + F.coalesce("duplicates", F.lit(0)) + F.when(F.col("_id").isNotNull() & F.col("first_id").isNotNull(), 1).otherwise(0)).alias("duplicates"),
-        )
-        table.write(merged, batch_id)
+        keyed = batch.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+        log.append(keyed.groupBy("sha").agg(F.min(order).cast("long").alias("first_id"), F.count("*").alias("copies")), batch_id)
 
     return run
 
 
-def dedup_within_watermark(documents: DataFrame, ts: str, watermark: str) -> DataFrame:
-    """First row per content hash while copies arrive within the watermark; state stays bounded."""
-    return documents.withColumn("sha", F.sha2("text", 256)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["sha"])
+def first_seen(log: BatchLog, without: tuple[int, ...] = ()) -> DataFrame:
+    """(sha, first_id, duplicates): the first row of each content over all batches, and how many copies came after it."""
+    return log.read(without).groupBy("sha").agg(F.min_by("first_id", "batch_id").alias("first_id"), (F.sum("copies") - 1).alias("duplicates"))
+
+
+def upsert_batch(log: BatchLog, key: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """Appends the batch's last row per key by ``order``."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct(*order)).alias("_row"))
+        log.append(last.select(key, "_row.*"), batch_id)
+
+    return run
+
 
+def latest_rows(log: BatchLog, key: str, order: list[str], without: tuple[int, ...] = ()) -> DataFrame:
+    """The row of the latest batch per key, with ``created_by``, the first batch that brought the key; rolled-back batches never were."""
+    rows = log.read(without)
+    kept = [c for c in rows.columns if c not in (key, "batch_id")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*kept), F.struct("batch_id", *order)).alias("_row"), F.concat(F.lit("batch-"), F.min("batch_id")).alias("created_by"))
+    return last.select(key, "_row.*", "created_by")
 
-def upsert_batch(table: ParquetTable, key: str, order: list[Column]) -> Callable[[DataFrame, int], None]:
-    """Upsert by key; new rows carry the batch id in ``created_by``, so that a batch can be rolled back."""
+
+VIEW = "key STRING, rows BIGINT, amount DECIMAL(38,6), latest TIMESTAMP, seen BINARY"
+
+
+def view_batch(log: BatchLog, key: str, amount: str, ts: str, item: str) -> Callable[[DataFrame, int], None]:
+    """Appends the batch's part of a view per key: rows, exact sum, latest time and a sketch of the distinct items."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        held = table.read(before=batch_id)
-        last = catalog.top_k(batch, [key], order, 1, "_n").drop("_n")
-        origin = held.select(key, F.col("created_by").alias("_by"))
-        fresh = last.join(origin, key, "left").withColumn("created_by", F.coalesce("_by", F.lit(f"batch-{batch_id}"))).drop("_by")
-        table.write(catalog.upsert(held, fresh.select(*held.columns), key), batch_id)
+        part = batch.groupBy(F.col(key).cast("string").alias("key")).agg(
+            F.count("*").alias("rows"), F.sum(F.col(amount).cast("decimal(28,6)")).cast("decimal(38,6)").alias("amount"),
+            F.max(F.col(ts).cast("timestamp")).alias("latest"), F.hll_sketch_agg(item, 14).alias("seen"),
+        )
+        log.append(part, batch_id)
 
     return run
 
 
+def view(log: BatchLog, without: tuple[int, ...] = ()) -> DataFrame:
+    """The view over all batches: parts are added up, so a new batch costs its own rows only."""
+    merged = log.read(without).groupBy("key").agg(
+        F.sum("rows").alias("rows"), F.sum("amount").cast("decimal(38,6)").alias("amount"), F.max("latest").alias("latest"), F.hll_union_agg("seen").alias("seen"),
+    )
+    return merged.withColumn("distinct_items", F.hll_sketch_estimate("seen")).drop("seen")
+
+
+def dedup_within_watermark(documents: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """First row per content hash while copies arrive within the watermark; state stays bounded."""
+    return documents.withColumn("sha", F.sha2("text", 256)).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(["sha"])
+
+
 def run_available(stream: DataFrame, folder: str, batch: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> str:
     """Process what is there and stop; returns the output folder. ``folder`` holds the stream's progress and output."""
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
