@@ -313,14 +313,6 @@ def import_difference(spark, sf):
     return C.id_diff(before, kinds(nodes, edges))
 
 
-@query("case_difference", """
-WITH b AS (SELECT DISTINCT user_id AS c FROM events WHERE event_type='purchase' AND value>60), d AS (SELECT DISTINCT user_id AS c FROM events WHERE event_type='signup' AND value>60)
-SELECT c AS case_id, 'regression' AS change FROM b WHERE c NOT IN (SELECT c FROM d) UNION ALL SELECT c, 'newly_passed' FROM d WHERE c NOT IN (SELECT c FROM b)""")
-def case_difference(spark, sf):
-    e = T.table(spark, sf, "events").filter("value > 60").withColumnRenamed("user_id", "case_id")
-    return C.case_diff(e.filter("event_type = 'purchase'"), e.filter("event_type = 'signup'"))
-
-
 @query("dedupe_requests", """
 WITH r AS (SELECT conv_id, turn AS pos, CASE WHEN turn%2=0 THEN 'hybrid_search' ELSE 'graph_traverse' END AS tool, substr(text,1,1) AS query FROM conversations)
 SELECT conv_id, pos, min(pos) OVER (PARTITION BY conv_id, tool, query) AS owner_pos,

@@ -95,13 +95,6 @@ def area_rollup(spark, sf):
     return G.area_rollup(community_nodes(spark, sf), T.edges(spark, sf))
 
 
-@query("finding_communities", "SELECT 'finding-'||id AS finding_id, community FROM t_com WHERE id LIKE 'part-%' OR id LIKE 'supplier-%'")
-def finding_communities(spark, sf):
-    n = community_nodes(spark, sf)
-    f = n.filter("type IN ('material', 'equipment')").select(F.concat(F.lit("finding-"), "id").alias("id"))
-    return G.finding_communities(f, n)
-
-
 @query("finding_nodes", "SELECT 'finding-'||id AS finding_id, id AS node_id FROM t_node")
 def finding_nodes(spark, sf):
     n = T.nodes(spark, sf)
@@ -184,14 +177,6 @@ def experts(spark, sf):
 # --- components, communities ---
 
 
-@query("components", """
-WITH e AS (SELECT 'supplier-'||s_suppkey AS id, s_nationkey AS n FROM supplier UNION ALL SELECT 'nation-'||n_nationkey, n_nationkey FROM nation)
-SELECT id, min(id) OVER (PARTITION BY n) AS root FROM e""")
-def components(spark, sf):
-    nodes = T.nodes(spark, sf).filter("type IN ('equipment', 'location')")
-    return G.components(nodes, T.edges(spark, sf).filter("relation = 'LOCATED_IN'"))
-
-
 @query("communities")
 def communities(spark, sf):
     """No SQL: iterative. ``community_checks`` states what must hold of it."""
@@ -294,22 +279,6 @@ def register_proposals(spark, sf):
     return G.register_proposals(base, batch).select("id", "status", "confidence")
 
 
-@query("review_proposals", """
-WITH n AS (SELECT DISTINCT label FROM t_node WHERE type='material')
-SELECT source, CASE WHEN action='accept' AND NOT known THEN 'proposed' WHEN action='accept' THEN 'accepted' WHEN action='reject' THEN 'rejected' ELSE 'reverted' END AS status,
- action='accept' AND known AS active, CASE WHEN action='accept' AND NOT known THEN 'unknown_entity' END AS error
-FROM (SELECT label AS source, CASE length(label)%3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'revert' END AS action, contains(label,'ring') AS known FROM n)""")
-def review_proposals(spark, sf):
-    nodes = T.nodes(spark, sf)
-    labels = nodes.filter("type = 'material'").select("label").distinct()
-    target = F.when(F.col("label").contains("ring"), F.col("label")).otherwise(F.concat(F.lit("no such "), "label"))
-    props = labels.select(G.proposal_id(F.col("label"), target).alias("id"), F.col("label").alias("source"), target.alias("target"), F.lit("proposed").alias("status"))
-    log = props.selectExpr(
-        "id AS proposal_id", "explode(array(struct(1 AS seq, 'accept' AS action), struct(2 AS seq, CASE length(source) % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'reject' ELSE 'revert' END AS action))) AS x"
-    ).select("proposal_id", "x.seq", "x.action", F.lit("e1").alias("reviewer_id"))
-    return G.review_proposals(props, log, nodes).select("source", "status", "active", "error")
-
-
 @query("alias_map", "SELECT lower(w3) AS alias, max('agreed '||lower(w3)) AS canonical FROM t_words WHERE length(w3)>6 GROUP BY ALL")
 def alias_map(spark, sf):
     acc = T.extraction(spark, sf)[3]
@@ -336,15 +305,6 @@ def numeric_signals(spark, sf):
     return s.select("pair_id", "kind", title(0).alias("first_source"), title(1).alias("second_source"), "confidence", "data_class")
 
 
-@query("hypothesis_groups", """
-WITH c AS (SELECT 'finding-part-'||p_partkey AS id, p_brand AS g, CASE p_partkey%3 WHEN 0 THEN 'public' WHEN 1 THEN 'internal' ELSE 'restricted' END AS data_class FROM part)
-SELECT id, min(id) OVER (PARTITION BY g) AS root, data_class FROM c""")
-def hypothesis_groups(spark, sf):
-    n = community_nodes(spark, sf).filter("type = 'material'")
-    f = n.select(F.concat(F.lit("finding-"), "id").alias("id"), "data_class")
-    return H.hypothesis_groups(f, n, T.edges(spark, sf).filter("relation = 'LOCATED_IN'"))
-
-
 @query("pack_batches")
 def pack_batches(spark, sf):
     """Ordered packing, tested against a plain loop. One group per nation, as a conflict graph would give."""

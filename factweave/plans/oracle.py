@@ -204,8 +204,8 @@ SELECT document_id, doc_id, pos, line, string_split(line,' ')[1] AS w1, string_s
 FROM t_frag WHERE len(string_split(line,' '))>2""")
 cte("t_cin", """
 SELECT document_id, pos, w1 AS subject, ['USES','HAS_PROPERTY','LOCATED_IN','unknown thing'][pos%4+1] AS predicate, w2 AS object,
- substr(line,1,200) AS statement, (60+pos%40)/100.0::DOUBLE AS confidence,
- CASE pos%3 WHEN 0 THEN substr(line,1,60) WHEN 1 THEN lower(substr(line,1,60)) ELSE '~'||substr(line,1,60) END AS evidence_quote FROM t_words""")
+ line AS statement, (60+pos%40)/100.0::DOUBLE AS confidence,
+ CASE pos%3 WHEN 0 THEN line WHEN 1 THEN lower(line) ELSE '~'||line END AS evidence_quote FROM t_words""")
 cte("t_ent", """
 SELECT document_id, w1 AS name, 'the '||w1 AS canonical_name, ['material','process','equipment'][min(pos)%3+1] AS type, w1||'s' AS alias
 FROM t_words WHERE pos%2=0 GROUP BY ALL""")

@@ -340,16 +340,6 @@ def ab_gate(spark, sf):
     return Q.ab_gate(e.select(F.col("user_id").alias("id")).distinct(), experiments)
 
 
-@query("reconcile_gold", """
-WITH m AS (SELECT DISTINCT source, lower(trim(regexp_replace('Q '||source,'\\s+',' ','g'))) AS q FROM documents WHERE lang='en'), b AS (SELECT source, list_distinct(list(CASE WHEN lang='de' THEN 'q '||source ELSE 'x' END)) AS qs FROM documents WHERE lang IN ('de','fr') AND n_chars>3000 GROUP BY ALL)
-SELECT coalesce(m.source,b.source) AS source, CASE WHEN qs IS NULL THEN 'manifest_only' WHEN q IS NULL THEN 'benchmark_only' WHEN NOT list_contains(qs,q) THEN 'question_mismatch' ELSE 'matched' END AS state FROM m FULL JOIN b ON m.source=b.source""")
-def reconcile_gold(spark, sf):
-    d = T.table(spark, sf, "documents")
-    manifest = d.filter("lang = 'en'").selectExpr("source", "concat('Q  ', source) AS question").distinct()
-    cases = d.filter("lang IN ('de', 'fr') AND n_chars > 3000").selectExpr("source", "IF(lang = 'de', concat(' q ', source), 'x') AS query")
-    return Q.reconcile_gold(manifest, cases)
-
-
 @query("preflight", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE n_chars>9000)")
 def preflight(spark, sf):
     d = T.table(spark, sf, "documents")

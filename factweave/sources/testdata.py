@@ -352,13 +352,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def extraction(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def extraction(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(claims, entities, resolutions, accepted) made from the lines of the documents.
 
-    A third of the quotes is exact, a third differs in case, a third is in no text. Statements and quotes are the first 200 and 60
-    characters of a line, or all of it if ``whole``.
+    A third of the quotes is exact, a third differs in case, a third is in no text.
     """
-    statement, quote = ("line", "line") if whole else ("substring(line, 1, 200)", "substring(line, 1, 60)")
     lines = table(spark, sf_dir, "documents").selectExpr(
         "concat('doc-', doc_id) AS document_id", "posexplode(split(text, '\\n')) AS (pos, line)"
     ).filter("size(split(line, ' ')) > 2").selectExpr(
@@ -368,8 +366,8 @@ def extraction(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[D
     claims = lines.selectExpr(
         "document_id", "pos", "w1 AS subject",
         "element_at(array('USES', 'HAS_PROPERTY', 'LOCATED_IN', 'unknown thing'), pos % 4 + 1) AS predicate", "w2 AS object",
-        f"{statement} AS statement", "CAST(60 + pos % 40 AS DOUBLE) / 100 AS confidence",
-        f"CASE pos % 3 WHEN 0 THEN {quote} WHEN 1 THEN lower({quote}) ELSE concat('~', {quote}) END AS evidence_quote",
+        "line AS statement", "CAST(60 + pos % 40 AS DOUBLE) / 100 AS confidence",
+        "CASE pos % 3 WHEN 0 THEN line WHEN 1 THEN lower(line) ELSE concat('~', line) END AS evidence_quote",
         "'fact' AS fact_kind", "CAST(NULL AS STRING) AS context", f"CAST(array() AS {observation}) AS observations",
     )
     entities = lines.filter("pos % 2 = 0").groupBy("document_id", F.col("w1").alias("name")).agg(F.min("pos").alias("p")).selectExpr(

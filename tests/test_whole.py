@@ -11,7 +11,7 @@ from factweave.plans.graph_queries import community_nodes
 from factweave.sources import testdata as T
 
 SF = "/root/testdata/sf0.001"
-NAMES = [n for n in entry.oracle_sql() if n.endswith("_whole")]
+NAMES = ["components", "finding_communities", "hypothesis_groups", "review_proposals", "case_difference", "reconcile_gold", "rivals_whole"]
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
@@ -36,7 +36,7 @@ def roots(links):
 def test_whole_query_agrees_with_sql(spark, name):
     sf = SF if name != "rivals_whole" else SF.replace("0.001", "0.01")  # the smallest tables have no rivals
     ok, note, _, rows = oracle_check.compare(entry.queries()[name](spark, sf), oracle_check.duck(sf), entry.oracle_sql()[name])
-    assert ok and (rows or name == "case_difference_whole"), note  # all users of the smallest tables have both events
+    assert ok and rows, note
 
 
 def test_components_of_the_whole_graph(spark):
