@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators import text_index as TI
 from ..operators import vector_index as V
 from ..operators.lineage import shared_folder
 from ..sources import testdata as T
@@ -60,6 +61,24 @@ def lexical_leg(spark, sf):
     return S.lexical_leg(T.search_queries(spark, sf), T.passages(spark, sf), 18).drop("score")
 
 
+def _index(spark, docs, field):
+    return TI.build(docs, f"{shared_folder(spark).rstrip('/')}/text-{uuid.uuid4().hex}", field)
+
+
+@query("text_index_top", _top("t_bq", 10))
+def text_index_top(spark, sf):
+    return TI.search(_index(spark, T.passages(spark, sf), "quote"), T.search_queries(spark, sf), 10).drop("score")
+
+
+@query("text_index_leg", f"""
+WITH b AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score*3 AS score FROM t_bs UNION ALL SELECT * FROM t_bq) GROUP BY ALL)
+{_top('b', 18)}""")
+def text_index_leg(spark, sf):
+    """The lexical leg from two stored indexes."""
+    docs = T.passages(spark, sf)
+    return TI.leg([(_index(spark, docs, "statement"), 3.0), (_index(spark, docs, "quote"), 1.0)], T.search_queries(spark, sf), 18).drop("score")
+
+
 cte("t_ptitle", f"SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens('source_title')}) AS term FROM t_pass) GROUP BY ALL")
 
 
