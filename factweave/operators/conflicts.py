@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures, scope as scopes
 from ..functions.ids import conflict_pair_id
-from . import catalog, dominance, skew
+from . import catalog, dominance, ranks, skew
 from .lineage import checkpoint, written
 
 GROUP = ["subject_id", "predicate", "property_name", "unit"]
@@ -309,23 +309,23 @@ def gap_summary(claims: DataFrame, by: list[str], limit: int = GAP_LIMIT) -> Dat
     """Combinations of dimension values without a claim, per pool: how many, and the first ``limit``.
 
     A combination's number is its values' ranks in mixed radix. Free numbers lie between neighbours among the sorted covered numbers,
-    so all combinations of a pool count and no product of the dimensions is built. Totals are exact up to 38 digits.
+    so all combinations of a pool count and no product of the dimensions is built. Values and covered numbers are numbered in one
+    global order, so a pool that holds most claims spreads over all tasks. Totals are exact up to 38 digits.
     """
-    from pyspark.sql import Window
-
     c = F.col
     whole = "decimal(38,0)"
-    values = dimension_values(claims, by)
+    claims = written(claims.select(*by, "subject_id", "property_name", "scope"))
+    values = written(dimension_values(claims, by))
     sizes = values.groupBy(*by, "name").agg(F.count("*").alias("n"))
     names = sizes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("dims"))
     product = lambda dims: F.aggregate(dims, F.lit(1).cast(whole), lambda a, d: (a * d["n"].cast(whole)).cast(whole))
-    names = names.withColumn("total", product(c("dims")))
+    names = written(names.withColumn("total", product(c("dims"))))
     stride = F.transform(F.sequence(F.lit(1), F.size("dims")), lambda i: product(F.slice(c("dims"), i + 1, F.size("dims"))))
     steps = names.select(*by, F.explode(F.arrays_zip("dims", stride.alias("stride"))).alias("x")).select(
         *by, c("x.dims.name").alias("name"), c("x.dims.n").cast(whole).alias("n"), c("x.stride").alias("stride")
     )
-    w = Window.partitionBy(*by, "name").orderBy("value")
-    ranked = values.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint")).join(steps, by + ["name"])
+    numbered = ranks.row_numbers(values, [*by, "name"], [c("value")], "_number", "_size")
+    ranked = written(numbered.select(*by, "name", "value", (c("_number") - 1).alias("rank")).join(steps, by + ["name"]))
     # Covered combinations: claims that carry every dimension of their pool.
     with_dims = claims.join(names.select(*by, "dims"), by)
     value_of = lambda d: (
@@ -337,17 +337,17 @@ def gap_summary(claims: DataFrame, by: list[str], limit: int = GAP_LIMIT) -> Dat
     combos = with_dims.select(*by, F.transform("dims", lambda d: F.struct(d["name"].alias("name"), value_of(d).alias("value"))).alias("combo"))
     combos = combos.filter(~F.exists("combo", lambda x: x["value"].isNull())).distinct()
     placed = combos.select(*by, "combo", F.explode("combo").alias("x")).select(*by, "combo", "x.name", "x.value").join(ranked, by + ["name", "value"])
-    taken = placed.groupBy(*by, "combo").agg(F.sum((c("rank").cast(whole) * c("stride")).cast(whole)).cast(whole).alias("i")).drop("combo")
+    taken = written(placed.groupBy(*by, "combo").agg(F.sum((c("rank").cast(whole) * c("stride")).cast(whole)).cast(whole).alias("i")).drop("combo"))
     covered = taken.groupBy(*by).agg(F.count("*").alias("covered"))
     # The end of a pool stands behind its numbers as one more; a hole begins behind the number before.
-    order = Window.partitionBy(*by).orderBy("i")
-    marks = taken.unionByName(names.select(*by, c("total").alias("i")))
+    marks = written(ranks.row_numbers(taken.unionByName(names.select(*by, c("total").alias("i"))), by, [c("i")], "_number", "_size"))
     one = F.lit(1).cast(whole)
-    holes = marks.withColumn("start", F.coalesce((F.lag("i").over(order) + one).cast(whole), F.lit(0).cast(whole))).filter(c("start") < c("i"))
-    holes = holes.withColumn("hole", F.row_number().over(order)).filter(c("hole") <= limit)
+    before = marks.select(*by, (c("_number") + 1).alias("_number"), (c("i") + one).cast(whole).alias("start"))
+    holes = marks.join(before, [*by, "_number"], "left").withColumn("start", F.coalesce("start", F.lit(0).cast(whole))).filter(c("start") < c("i"))
+    holes = catalog.top_k(holes, by, [c("i")], limit, "hole")
     free = holes.withColumn("off", F.explode(F.sequence(F.lit(0), F.least(c("i") - c("start"), F.lit(limit).cast(whole)).cast("int") - 1)))
     free = free.select(*by, (c("start") + c("off").cast(whole)).cast(whole).alias("i"))
-    shown = free.withColumn("pos", F.row_number().over(order)).filter(c("pos") <= limit)
+    shown = catalog.top_k(free, by, [c("i")], limit, "pos")
     rank = F.expr("(i % CAST(stride * n AS DECIMAL(38,0))) div stride")
     picked = shown.join(steps, by).withColumn("rank", rank).join(ranked.select(*by, "name", "rank", "value"), by + ["name", "rank"]).groupBy(*by, "pos").agg(
         F.array_sort(F.collect_list(F.struct("name", "value"))).alias("combo")
