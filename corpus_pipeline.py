@@ -12,8 +12,8 @@ from factweave.sources.testdata import table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; empty ones stay."""
-    scored = toxicity.score(docs, queries.toxicity_model(spark, sf_dir))
-    return scored.filter("score < 0.5").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")  # an input column named score stays what it is
+    return toxicity.score(rows, queries.toxicity_model(spark, sf_dir)).filter("score < 0.5").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    stays = jaccard.near_duplicates(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_id"]), "left_semi")
+    """Of each group of near duplicates the document with the smallest id stays (null last), by id and text where ids repeat.
+
+    Rows that repeat id and text are one document and stay together.
+    """
+    key = F.xxhash64("doc_id", "text").alias("key")
+    found = jaccard.near_duplicates(docs.select(key, "text"), id_col="key").select("key", "component_id").distinct()
+    ids = docs.select(key, "doc_id").distinct()
+    stays = found.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
+    return docs.select(F.struct("*").alias("row"), key).join(stays.select("key"), "key", "left_semi").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("mixing", mix), ("byte_bpe", tokenise)]
 
-#: The classifier and the byte-level encoding have no form in SQL; tests compare the stages with brute force.
+#: The classifier and the byte-level encoding have no form in SQL; tests compare the dedup stages with brute force.
 ORACLE_SQL = None
 
 
