@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import CLAIMS_IN
@@ -86,6 +86,21 @@ def extract_with(documents: DataFrame, extractor: Callable[[Iterator[pd.DataFram
     return documents.mapInPandas(extractor, schema)
 
 
+def register_extractor(spark: SparkSession, name: str, extract: Callable[[Row], Iterable[tuple]], schema: str) -> None:
+    """Makes a user's extractor a table function for SQL: ``SELECT * FROM name(TABLE(documents))``, one call of ``extract`` per row."""
+
+    class Extractor:
+        def eval(self, row: Row):
+            yield from extract(row)
+
+    spark.udtf.register(name, F.udtf(Extractor, returnType=schema))
+
+
+def register_judge(spark: SparkSession, name: str, judge: Callable) -> None:
+    """Makes a user's vectorised judge of (question, answer, context) a function for SQL."""
+    spark.udf.register(name, F.pandas_udf(judge, "double"))
+
+
 def judge_with(answers: DataFrame, judge: Callable | None) -> DataFrame:
     """Quality given by a user's vectorised function of (question, answer, context); without one it is null, never zero."""
     if judge is None:

@@ -61,3 +61,18 @@ def test_row_numbers(spark):
         mine = sorted((r.number, r.v, r.size) for r in got if r.g == g)
         want = sorted((v for k, v in rows if k == g), reverse=True)
         assert mine == [(i + 1, v, len(want)) for i, v in enumerate(want)]
+
+
+def test_users_extractor_and_judge_in_sql(spark):
+    from factweave.operators import tools
+
+    docs = spark.createDataFrame([(1, "a 12\nb"), (2, None), (3, "7 and 8")], "id LONG, text STRING")
+    tools.register_extractor(spark, "digits_of", lambda row: ((row["id"], w) for w in (row["text"] or "").split() if w.isdigit()), "id LONG, found STRING")
+    got = spark.sql("SELECT * FROM digits_of(TABLE({docs}))", docs=docs).collect()
+    assert sorted((r.id, r.found) for r in got) == [(1, "12"), (3, "7"), (3, "8")]
+    tools.register_judge(spark, "longer", lambda q, a, c: (a.str.len() > q.str.len()).astype("float64"))
+    assert spark.sql("SELECT longer('ab', 'abc', '') AS x").first().x == 1.0
+    none = tools.judge_with(spark.createDataFrame([("q", "a", "c")], "question STRING, answer STRING, context STRING"), None)
+    assert none.first().judge is None
+    upper = tools.extract_with(docs.filter("text IS NOT NULL"), lambda batches: (b.assign(text=b["text"].str.upper()) for b in batches), "id LONG, text STRING")
+    assert {r.text for r in upper.collect()} == {"A 12\nB", "7 AND 8"}
