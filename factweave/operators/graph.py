@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scope as scopes
 from ..functions.ids import MERGE_NAMESPACE, uuid5
 from . import catalog
-from .lineage import checkpoint
+from .lineage import checkpoint, written
 from .search import token_hits
 
 NODE_LIMIT, EDGE_LIMIT = 600, 3000
@@ -225,13 +225,15 @@ def neighbourhood(
 ) -> DataFrame:
     """(query_id, id, level): breadth-first visit from the starts, at most ``limit`` nodes per question.
 
-    New nodes of a level enter in id order while there is room. Each level is one join of the frontier with the adjacency;
-    the cap applies per question before the level is stored, so the frontier stays small.
+    New nodes of a level enter in id order while there is room. Of a node's neighbours in id order those behind the first ``limit``
+    never enter: before them stand more than are visited and have room together. So only a first page of every hub's neighbours is kept,
+    and a level reads at most that page for each node of the frontier.
     """
     c = F.col
     depth = min(max(hops, 1), 4)
     seen = catalog_visible(nodes.filter(c("type") != "chunk"), classes).select(c("id").alias("neighbour"))
     ways = catalog_visible(adjacency(edges, relations), classes).select("id", "neighbour").distinct().join(seen, "neighbour", "left_semi")
+    ways = written(catalog.top_k(ways, ["id"], [c("neighbour")], limit).select("id", "neighbour"))
     visited = checkpoint(starts.select("query_id", "id", F.lit(0).alias("level")).distinct())
     for level in range(1, depth + 1):
         frontier = visited.filter(c("level") == level - 1).select("query_id", "id")

@@ -155,3 +155,26 @@ def test_packing_is_the_same_in_pieces(spark):
             plain.add((r.root, r.id, r.part, batch))
             assert (r.batch, r.run) == (batch, 0)
         assert plain == want
+
+
+def test_neighbourhood_of_hubs_against_a_plain_walk(spark):
+    rng = random.Random(12)
+    ids = [f"n{i:03d}" for i in range(150)]
+    pairs = [("n000", i) for i in ids[1:120]] + [("n001", i) for i in ids[60:]] + [(rng.choice(ids), rng.choice(ids)) for _ in range(200)]
+    nodes, edges = graph(spark, ids, pairs)
+    near = {i: set() for i in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    starts = [("q0", "n000"), ("q1", "n001"), ("q2", "n050"), ("q2", "n140"), ("q3", "n149")]
+    for limit in (1, 7, 40, 500):
+        want = set()
+        for q in {q for q, _ in starts}:
+            seen = {i: 0 for k, i in starts if k == q}
+            for level in (1, 2, 3):
+                fresh = sorted({b for i, at in seen.items() if at == level - 1 for b in near[i]} - set(seen))
+                for b in fresh[: max(0, limit - len(seen))]:
+                    seen[b] = level
+            want |= {(q, i, at) for i, at in seen.items()}
+        got = G.neighbourhood(spark.createDataFrame(starts, "query_id STRING, id STRING"), nodes, edges, 3, limit=limit)
+        assert {tuple(r) for r in got.select("query_id", "id", "level").collect()} == want, limit
