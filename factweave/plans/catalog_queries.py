@@ -358,9 +358,12 @@ def supersede_edges(spark, sf):
 
 
 @query("version_history", """
-SELECT a.id AS finding_id, b.id AS version_id, b.version::INTEGER AS version, b.version::INTEGER AS position FROM t_ver a JOIN t_ver b ON a.root=b.root""")
+SELECT a.id AS finding_id, count(*) AS versions, string_agg(b.version||':'||b.id, ' ' ORDER BY b.version) AS chain FROM t_ver a JOIN t_ver b ON a.root=b.root GROUP BY a.id""")
 def version_history(spark, sf):
-    return C.version_history(T.versioned_findings(spark, sf))
+    """One row per finding, with the versions of its chain in order."""
+    rows = C.version_history(T.versioned_findings(spark, sf))
+    chain = F.array_sort(F.collect_list(F.struct("position", F.concat_ws(":", "version", "version_id").alias("x"))))
+    return rows.groupBy("finding_id").agg(F.count("*").alias("versions"), F.array_join(F.transform(chain, lambda x: x["x"]), " ").alias("chain"))
 
 
 @query("lookup_findings", """

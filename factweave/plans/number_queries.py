@@ -32,14 +32,15 @@ _SCALES = """s AS (SELECT property_name, unit, min(v) AS lo, max(v) AS hi FROM (
 
 
 @query("measure_bars", f"""
-WITH {_SCALES} SELECT o.id, o.idx::INTEGER AS pos, o.property_name,
+WITH {_SCALES}, b AS (SELECT o.id,
  {_scaled("CASE WHEN operator='between' THEN (min_value-lo)/(hi-lo)*100 WHEN operator='lte' THEN 0 ELSE (value-lo)/(hi-lo)*100 END", 'left')},
  {_scaled("CASE WHEN operator='between' THEN (max_value-lo)/(hi-lo)*100-(min_value-lo)/(hi-lo)*100 WHEN operator='lte' THEN (value-lo)/(hi-lo)*100 WHEN operator='gte' THEN 100-(value-lo)/(hi-lo)*100 ELSE 0 END", 'width')}
-FROM t_obs o JOIN s ON o.property_name=s.property_name AND o.unit=s.unit""")
+ FROM t_obs o JOIN s ON o.property_name=s.property_name AND o.unit=s.unit)
+SELECT id, count(*) AS bars, sum("left")::BIGINT AS "left", sum(width)::BIGINT AS width, max("left") AS furthest, max(width) AS widest FROM b GROUP BY id""")
 def measure_bars(spark, sf):
-    return N.measure_bars(T.findings(spark, sf)).select("id", "pos", "property_name", "bar.*").select(
-        "id", "pos", "property_name", scaled("left"), scaled("width")
-    )
+    """One row per finding: its bars, and their places and widths summed in millionths."""
+    bars = N.measure_bars(T.findings(spark, sf)).select("id", "bar.*").select("id", scaled("left"), scaled("width"))
+    return bars.groupBy("id").agg(F.count("*").alias("bars"), F.sum("left").alias("left"), F.sum("width").alias("width"), F.max("left").alias("furthest"), F.max("width").alias("widest"))
 
 
 # The unit of a comparison is its printed form, so both spellings of mg/L meet.
