@@ -109,22 +109,22 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-@query("op4_chat_rotation", """
+@query("op4_chat_rotation", r"""
 WITH turns AS (
-    SELECT conv_id, coalesce(turn, 4611686018427387903) AS pos, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+    SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) AS pos,
+           coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS participant FROM turns WHERE speaker <> 'system'),
 shown AS (
-    SELECT t.conv_id, participant, CAST(floor(pos / 128) AS BIGINT) AS part, pos, speaker, text, speaker = participant AS own,
+    SELECT t.conv_id, participant, CAST(pos // 512 AS BIGINT) AS part, pos, text, speaker = participant AS own,
            CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = participant THEN '<|assistant|>'
-                ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+                ELSE '<|user name=' || regexp_replace(regexp_replace(speaker, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') || '|>' END || chr(10) AS head
     FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
     SELECT *, CAST(coalesce(sum(length(head) + length(text) + 8) OVER (
-        PARTITION BY conv_id, participant, part ORDER BY pos, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS b
+        PARTITION BY conv_id, participant, part ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(head) AS b
     FROM shown)
-SELECT conv_id, participant, part, CAST(0 AS DOUBLE) AS piece, CAST(count(*) AS INTEGER) AS n_messages,
-       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos, speaker, text) AS text,
-       coalesce(string_agg(b || '-' || (b + length(text)), ' ' ORDER BY pos, speaker, text) FILTER (WHERE own), '') AS mask
+SELECT conv_id, participant, part, CAST(count(*) AS INTEGER) AS n_messages, string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY pos) AS text,
+       coalesce(string_agg(b || '-' || (b + length(text)), ' ' ORDER BY pos) FILTER (WHERE own), '') AS mask
 FROM placed GROUP BY conv_id, participant, part
 """)
 def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
