@@ -73,7 +73,7 @@ def filter_signals(df: DataFrame, kind: str | None = None, text: str | None = No
         needle = text.strip().lower()
         df = df.filter(
             F.lower("statement").contains(needle) | F.coalesce(F.lower("proposal").contains(needle), F.lit(False))
-            | F.exists("evidence", lambda e: F.lower(e["quote"]).contains(needle) | F.lower(e["source_title"]).contains(needle))
+            | F.exists("evidence", lambda e: F.lower(e["quote"]).contains(needle))
         )
     return df
 

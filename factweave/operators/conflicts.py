@@ -365,5 +365,19 @@ def gap_summary(claims: DataFrame, by: list[str], limit: int = GAP_LIMIT) -> Dat
     )
 
 
+def gap_report(claims: DataFrame, by: list[str], limit: int = GAP_LIMIT) -> DataFrame:
+    """``gap_summary`` with what it rests on: claims and findings looked at, combinations without a claim, and a status.
+
+    "success" where gaps are shown, else "warning": every combination is covered, or the pool's claims span no space (no dimensions; the
+    figures of the space are null). A pool without claims has no row.
+    """
+    c = F.col
+    claims = written(claims.select(*by, "finding_id", "subject_id", "property_name", "scope"))
+    seen = claims.groupBy(*by).agg(F.count("*").alias("claims"), F.count_distinct("finding_id").alias("findings"))
+    out = seen.join(gap_summary(claims, by, limit), by, "left")
+    status = F.when(c("shown") > 0, "success").otherwise("warning")
+    return out.withColumns({"status": status, "uncovered": (c("total") - c("covered")).cast("decimal(38,0)")})
+
+
 def _combo_text(combo: Column) -> Column:
     return F.array_join(F.transform(combo, lambda x: F.concat(x["name"], F.lit("="), x["value"])), ", ")

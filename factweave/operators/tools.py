@@ -51,7 +51,7 @@ def conflict_scan(spark: SparkSession, requests: DataFrame, corpus: Corpus) -> D
 
 def gap_scan(spark: SparkSession, requests: DataFrame, corpus: Corpus) -> DataFrame:
     pool = corpus["pool"].join(requests.select("query_id"), "query_id", "left_semi")
-    return conflicts.gap_summary(conflicts.to_claims(evidence_pool(pool), carry=("query_id",)), ["query_id"])
+    return conflicts.gap_report(conflicts.to_claims(evidence_pool(pool), carry=("query_id",)), ["query_id"])
 
 
 def expert_lookup(spark: SparkSession, requests: DataFrame, corpus: Corpus) -> DataFrame:

@@ -17,7 +17,8 @@ def scan_corpus(
 ) -> DataFrame:
     """Files below ``path`` with a status: unsupported, oversize, or pending; pending ones in path order up to ``limit``.
 
-    Contents are not read here: only names and sizes are needed, and the content column is pruned from the scan.
+    Contents are not read here: only names and sizes are needed, and the content column is pruned from the scan. Spark's file source
+    does not list files of no bytes, so they have no row.
     """
     c = F.col
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
@@ -33,7 +34,7 @@ def scan_corpus(
 def read_text_documents(
     spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, suffixes: tuple[str, ...] = SUFFIXES
 ) -> DataFrame:
-    """Text and JSON files as one-fragment documents; ``error`` names why a file is refused."""
+    """Text and JSON files as one-fragment documents; ``error`` names why a file is refused. Files of no bytes are not listed."""
     c = F.col
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
@@ -41,7 +42,7 @@ def read_text_documents(
     read = files.filter(suffix.isin(*suffixes)).withColumn("text", F.when(c("length") <= max_bytes, text)).drop("content")
     name = F.url_decode(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
     error = (
-        F.when(c("length") == 0, "empty").when(c("length") > max_bytes, "oversize")
+        F.when(c("length") > max_bytes, "oversize")
         .when(F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) < MIN_TEXT, "too_short")
         .when((suffix == ".json") & F.try_parse_json("text").isNull(), "invalid_json")
     )
