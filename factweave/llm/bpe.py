@@ -27,7 +27,7 @@ CHUNK, OVERLAP = 65_536, 2_048
 #: A match may depend on so many characters behind its end (the longest contraction of the pattern).
 AHEAD = 4
 #: Pieces a worker remembers, and bytes of a piece up to which its pairs are scanned for the next merge.
-REMEMBERED, SCANNED = 400_000, 128
+REMEMBERED, SCANNED = 200_000, 128
 #: Ids decoded at a time.
 GATHERED = 1 << 20
 #: White space as the pattern means it (Unicode White_Space).
@@ -133,6 +133,12 @@ class Encoder:
             cls._built[key] = cls(ranks.value, pattern)
         return cls._built[key]
 
+    @classmethod
+    def rest(cls) -> None:
+        """Frees the older pieces at a task's end: the worker may serve other stages next."""
+        for encoder in cls._built.values():
+            encoder.ids.older = {}
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.ids.__getitem__, self.pattern.findall(text)))
 
@@ -163,6 +169,7 @@ def _map(df: DataFrame, schema: str, make) -> DataFrame:
             for first in range(0, batch.num_rows, 512):
                 piece = batch.slice(first, 512)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(make(*[c.to_pylist() for c in piece.columns]), fields.types, strict=True)], schema=fields)
+        Encoder.rest()
 
     return df.mapInArrow(run, arrow)
 
