@@ -41,7 +41,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with the check that they decode to the text."""
     ranks = bpe.read_ranks(spark, queries.VOCABULARY)
-    done = bpe.decode(bpe.encode(docs, ranks, queries.public_tokenizers.PATTERN), ranks)
+    # Written between the two, or every task holds two Python workers at a time.
+    done = bpe.decode(materialise(bpe.encode(docs, ranks, queries.public_tokenizers.PATTERN)), ranks)
     return done.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

@@ -71,3 +71,9 @@ def test_empty_input(spark):
     docs = table(spark, SF, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_ids_are_written_before_they_are_decoded(spark):
+    docs = table(spark, SF, "documents").limit(20)
+    plan = corpus_pipeline.tokenise(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan  # one Python worker a task
