@@ -20,10 +20,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import scope as scopes
 from .lineage import written
-from .search import QUERY_BLOCK, _best, _unit, ranked, vector_leg
+from .search import QUERY_BLOCK, SCORES, _best_blocks, _unit, ranked, vector_leg
 
 #: Most cells, sampled rows for each, rows of a part, rounds of the fit, and questions that recall is measured on.
 MAX_CELLS, SAMPLED, PART_ROWS, ROUNDS, MEASURED = 4_096, 64, 16_384, 12, 64
+#: Rows that a task makes at once when it repeats rows for their cells.
+REPEATED = 1 << 15
 
 c = F.col
 
@@ -52,15 +54,16 @@ def nearest_cells(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFr
     """Each row once for each of its nearest cells."""
     schema = StructType([*rows.schema.fields, StructField("cell", IntegerType())])
     take = min(probes, len(centroids))
+    # neither a batch's distances to all cells nor all its repeated rows are held at once
+    step = max(1, min(SCORES // len(centroids), REPEATED // take))
 
     def place(batches):
         for batch in batches:
-            if len(batch):
-                near = _unit(batch["embedding"]) @ centroids.T
-                order = np.argsort(-near, axis=1, kind="stable")[:, :take]
-                out = batch.loc[batch.index.repeat(take)].copy()
-                out["cell"] = order.ravel().astype(np.int32)
-                yield out
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at:at + step]
+                far = -(_unit(part["embedding"]) @ centroids.T)
+                order = np.argsort(far, axis=1, kind="stable")[:, :take]
+                yield part.iloc[np.repeat(np.arange(len(part)), take)].assign(cell=order.ravel().astype(np.int32))
 
     return rows.mapInPandas(place, schema)
 
@@ -107,7 +110,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int, classes=
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best(right["id"].to_numpy(), _unit(left["embedding"]) @ _unit(right["embedding"]).T, list(left["query_id"]), k)
+        return pd.concat(_best_blocks(right["id"].to_numpy(), _unit(left["embedding"]), _unit(right["embedding"]), list(left["query_id"]), k))
 
     keys = ["cell", "part", "block"]
     return ranked(q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(pair, "query_id string, id string, score double"), k)

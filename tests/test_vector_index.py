@@ -43,3 +43,23 @@ def test_nothing_to_index(spark, tmp_path):
     assert {r.id for r in V.search(index, queries, 5, 4).collect()} == {"v0003"}
     assert V.search(index, queries.limit(0), 5, 1).count() == 0
     assert V.build(vectors.limit(0), f"{tmp_path}/none", 8).rows.count() == 0
+
+
+def test_tied_scores_keep_k_rows():
+    ids, scores = np.array([f"v{i:02d}" for i in range(40)][::-1]), np.ones((2, 40))
+    scores[:, 7] = 2.0
+    best = S._best(ids, scores, ["p", "q"], 3)
+    assert [(r.query_id, r.id) for r in best.itertuples()] == [(q, v) for q in "pq" for v in ("v32", "v00", "v01")]
+
+
+def test_cells_and_scores_come_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centroids, points = rng.normal(size=(16, 4)), rng.normal(size=(50, 4)).astype(np.float32)
+    rows = spark.createDataFrame([(f"v{i:02d}", p.tolist()) for i, p in enumerate(points)], "id STRING, embedding ARRAY<FLOAT>").coalesce(1)
+    monkeypatch.setattr(V, "REPEATED", 20)
+    order = np.argsort(-(S._unit(points) @ centroids.T), axis=1, kind="stable")[:, :3]
+    assert [(r.id, r.cell) for r in V.nearest_cells(rows, centroids, 3).collect()] == [(f"v{i:02d}", x) for i in range(50) for x in order[i]]
+    whole = S._best(np.arange(50), S._unit(points) @ S._unit(points).T, list(range(50)), 5)
+    monkeypatch.setattr(S, "SCORES", 300)
+    pieces = list(S._best_blocks(np.arange(50), S._unit(points), S._unit(points), list(range(50)), 5))
+    assert len(pieces) == 9 and [tuple(r[1:3]) for p in pieces for r in p.itertuples()] == [tuple(r[1:3]) for r in whole.itertuples()]
