@@ -163,3 +163,10 @@ def test_claims_stay_where_groups_are_few(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and rows.count() == 20_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_pairs_below_with_one_value_many_times(spark):
+    from factweave.operators import dominance as D
+
+    ends = spark.range(30_000).selectExpr("'k' AS k", "CAST(id % 3 AS DOUBLE) AS value")
+    assert [tuple(r) for r in D.pairs_below(ends, ends, ["k"]).collect()] == [("k", 3 * 10_000 * 10_000)]
