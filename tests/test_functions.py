@@ -59,3 +59,30 @@ def test_signal_id_ignores_form_and_order(spark):
     df = spark.createDataFrame([(1, "Some  Text", [a, b]), (2, "some text", [b, (*a[:6], "fine")]), (3, "some text", [a])], schema)
     got = {r.k: r.id for r in hypotheses.signal_ids(df).collect()}
     assert got[1] == got[2] != got[3]
+
+
+def test_unit_mentions_like_the_pattern(spark):
+    """Against the two patterns in Python, and each text is searched once a pattern."""
+    import re
+
+    from factweave.functions import units as U
+
+    letters = "[а-яёА-ЯЁa-zA-Z°/%²³]+"
+    texts = [
+        "at 12,5 mg/L and 3–4\t%, 5 -6,50 °C; 7\n%", "1.2.3 kg 4,5,6т 7 — 8 мг в сутки 9 mg per day", "line 3: 40", "0,50г/м³ 10-20-30 m 1e5 x2 кг/т", "", None,
+        "5 тонн, 6 килограмм 7 Мегапаскалей 8 %% 9 - 9 Percent",
+    ]
+    show = lambda t: str(int(t)) if t == int(t) else repr(t)
+    value = lambda t: show(float(t.replace(",", ".")))
+    got = {r.t: r for r in spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", U.unit_mentions(F.col("t")).alias("m")).collect()}
+    for text in texts:
+        if text is None:
+            assert got[text].m is None
+            continue
+        s = re.sub(r"\b(мг|mg)\s+(?:в\s+сутки|в\s+день|per\s+day)\b", r"\1/day", text, flags=re.I)
+        want = [(value(n), u) for n, u in re.findall(rf"(\d+(?:[.,]\d+)?)\s*({letters})", s)]
+        for a, b, u in re.findall(rf"(\d+(?:[.,]\d+)?)\s*[–—-]\s*(\d+(?:[.,]\d+)?)\s*({letters})", s):
+            want += [(value(a), u), (value(b), u)]
+        assert [(m.number, m.unit) for m in got[text].m] == want
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(U.unit_mentions(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count("regexp_extract_all") == 2
