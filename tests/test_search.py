@@ -74,3 +74,18 @@ def test_token_hits_are_substring_hits(spark):
 def test_cosine(spark):
     row = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>").select(S.cosine(F.col("a"), F.col("b")).alias("c")).first()
     assert abs(row.c - 0.5 ** 0.5) < 1e-12
+
+
+def test_select_relevant_fills_places_and_reads_once(spark):
+    rng = random.Random(4)
+    words = ["zinc", "copper", "leaching", "tails", "slag", "kiln"]
+    docs = [(f"d{i:02}", " ".join(rng.choices(words, k=2)), " ".join(rng.choices(words, k=3)), "title", "", float(i % 4)) for i in range(30)]
+    asked = [("none", "nickel only"), ("few", "kilns kiln"), ("many", "zinc copper leaching"), ("blank", "")]
+    df = spark.createDataFrame(docs, "id STRING, statement STRING, quote STRING, source_title STRING, subject STRING, confidence DOUBLE")
+    found = S.select_relevant(spark.createDataFrame(asked, "query_id STRING, text STRING"), df, 12)
+    for q, text in asked:
+        tokens = {w for w in text.split() if len(w) >= 4}
+        hits = lambda t: sum(w in t for w in tokens)  # noqa: E731, B023
+        want = sorted(((-hits(s), -hits(e), -c, i) for i, s, e, _, _, c in docs))[:12]
+        assert [(-r.statement_hits, -r.quote_hits, -r.confidence, r.id) for r in sorted(found.filter(F.col("query_id") == q).collect(), key=lambda r: r["rank"])] == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # the fillers: hits are read, not worked out again
